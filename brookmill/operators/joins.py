@@ -17,7 +17,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
     if delay is not None:
         left, right = left.withWatermark(left_time, delay), right.withWatermark(right_time, delay)
     on = [F.col(a) == F.col(b) for a, b in keys]
-    on += [F.col(right_time) >= F.col(left_time), F.col(right_time) <= F.col(left_time) + F.make_dt_interval(secs=F.lit(within_seconds))]
+    on += [F.col(right_time) >= F.col(left_time), F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {within_seconds} SECONDS")]
     condition = on[0]
     for c in on[1:]:
         condition = condition & c

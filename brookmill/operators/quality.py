@@ -33,7 +33,7 @@ def unlisted(column: str, allowed, code: str) -> Rule:
 
 def in_future(event: str, arrival: str, skew_seconds: int) -> Rule:
     """Compared with the time of arrival, never with now, so that a replay decides alike."""
-    return Rule("FUTURE_EVENT_TS", F.col(event) > F.col(arrival) + F.make_dt_interval(secs=F.lit(skew_seconds)))
+    return Rule("FUTURE_EVENT_TS", F.col(event) > F.col(arrival) + F.expr(f"INTERVAL {skew_seconds} SECONDS"))
 
 
 def order_rules(skew_seconds: int) -> list[Rule]:
