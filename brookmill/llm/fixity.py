@@ -101,10 +101,11 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def damaged_copy(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """A replica as a faulty store might return it, for drills: one record in about 256 (by the digest of its address) has one byte changed, another is lost."""
+    """A replica as a faulty store might return it, for drills: of about 32 records (by the digest of the address) one has a byte changed and one is lost."""
     mark = F.substring(F.sha2(F.coalesce(F.col(url_col), F.lit("")), 256), 1, 2)
     whole = archived(pages.select(id_col, url_col, body_col), id_col=id_col, url_col=url_col, body_col=body_col, per_file=per_file)
-    flaws = pages.select(F.col(id_col).cast("long").alias("page_id"), mark.alias("mark"), F.sha2(warc_record(F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.coalesce(F.col(body_col).cast("string"), F.lit(""))), 256).alias("digest")).where(F.col("mark").isin("00", "01")).distinct()
+    changed, lost = mark.between("00", "07"), mark.between("08", "0f")
+    flaws = pages.select(F.col(id_col).cast("long").alias("page_id"), F.when(changed, "changed").when(lost, "lost").alias("flaw"), F.sha2(warc_record(F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.coalesce(F.col(body_col).cast("string"), F.lit(""))), 256).alias("digest")).where("flaw is not null").distinct()
     bad = F.sha2(F.concat(F.col("digest"), F.lit("!")), 256)
-    rows = whole.join(flaws, ["page_id", "digest"], "left").where(~F.coalesce(F.col("mark") == "01", F.lit(False)))
-    return rows.select("page_id", "file", "offset", "length", F.when(F.col("mark") == "00", bad).otherwise(F.col("digest")).alias("digest"))
+    rows = whole.join(flaws, ["page_id", "digest"], "left").where("flaw is null or flaw != 'lost'")
+    return rows.select("page_id", "file", "offset", "length", F.when(F.col("flaw") == "changed", bad).otherwise(F.col("digest")).alias("digest"))

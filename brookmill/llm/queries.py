@@ -97,7 +97,7 @@ SQL = {
              h AS (SELECT page_id, file, mark, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM r)
         SELECT page_id, file,
                CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-               length, digest, CASE mark WHEN '00' THEN 'damaged' WHEN '01' THEN 'missing' ELSE 'intact' END AS status
+               length, digest, CASE WHEN mark <= '07' THEN 'damaged' WHEN mark <= '0f' THEN 'missing' ELSE 'intact' END AS status
         FROM h""",
 }
 
