@@ -43,7 +43,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table that is small by construction; more than `most` of them is an error, never a cut."""
-    rows = df.limit(most + 1).collect()
+    rows = df.limit(most + 1).coalesce(1).collect()  # all partitions at once, unlike a bare limit
     if len(rows) > most:
         raise ValueError(f"{what}: more than {most} rows; raise the documented bound if that is meant")
     return rows

@@ -30,7 +30,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmill.llm.common import bounded
 from brookmill.llm.tokens import encoder
 
 #: Fixed values of the format.
@@ -187,8 +186,10 @@ def write(
         row = [shard, name, len(writer.lengths), sum(writer.lengths), writer.bytes]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "file", "documents", "ids", "bytes"])
 
-    manifest = bounded(ordered.mapInArrow(run, MANIFEST), MAX_SHARDS, "shards")
-    return Store(root, sorted((tuple(r) for r in manifest)))
+    if n > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards")
+    manifest = ordered.mapInArrow(run, MANIFEST).collect()  # a row for each shard
+    return Store(root, sorted(tuple(r) for r in manifest))
 
 
 def read(spark: SparkSession, store: Store, *, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token ids of whole texts with the tokenizers library, at the cost of distinct words rather than of all words.
 
 Both vocabularies split a text before any merge, and a blank between two visible characters is always such a split.
-So a text is cut there, each piece goes through the unmodified tokenizer once, and its ids are remembered in a table of
-bounded size. A text with any other white space than single blanks and line ends between visible characters is encoded
+So a text is cut there, and the ids of each piece are remembered in a table of bounded size. A piece of Latin letters is
+one unit to both vocabularies and goes straight to the tokenizer's merges, any other through the whole tokenizer. A text with any other white space than single blanks and line ends between visible characters is encoded
 whole. Results equal those of encoding each text at once, which the tests hold against the library.
 """
 
@@ -10,10 +10,23 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 _ODD_SPACE = re.compile(r"\s\s")
+#: Letters that neither normalisation nor splitting touches (but for case).
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: visible Latin-1 for themselves, the others from U+0100 up."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = sorted(set(range(256)) - set(own))
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 class Encoder:
@@ -28,6 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.leading_blank, self.most = leading_blank, most
         self.bare: dict[str, bytes] = {}
         self.after_blank: dict[str, bytes] = {} if leading_blank else self.bare
@@ -35,6 +49,16 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of one unit of letters, by the tokenizer's model alone."""
+        if not self.leading_blank:
+            word = word.lower()
+        if word.isascii() and word[0] != " ":
+            tokens = self.model.tokenize(word)
+        else:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def _learn(self, known: dict[str, bytes], pieces: list[str], blank: str) -> None:
         """Ids of unseen pieces. A stem and the full stop or comma after its last letter never merge."""
         stems: dict[str, None] = {}
@@ -49,8 +73,14 @@ class Encoder:
         for mark in ".,":
             if mark not in self.bare:
                 self.bare[mark] = self._whole([mark])[0]
-        if stems:
-            known.update(zip(stems, self._whole([blank + s for s in stems])))
+        mixed = []
+        for stem in stems:
+            if _LETTERS.fullmatch(stem):
+                known[stem] = self._letters(blank + stem)
+            else:
+                mixed.append(stem)
+        if mixed:
+            known.update(zip(mixed, self._whole([blank + s for s in mixed])))
         for piece, stem in parts.items():
             known[piece] = known[stem] + self.bare[piece[-1]]
 
