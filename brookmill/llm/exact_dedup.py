@@ -93,12 +93,21 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _sorted(texts: DataFrame, partitions: int) -> DataFrame:
+    """Range-partitioned by the first bytes and a hash of the whole, sorted by all bytes in each partition.
+
+    The hash parts texts that begin alike, and keeps the sampled splitters, which pass through the driver, a few bytes each.
+    """
+    ranged = texts.repartitionByRange(partitions, F.substring(F.col("norm"), 1, 16), F.xxhash64("norm"))
+    return ranged.sortWithinPartitions("norm")
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row for each distinct text: sha (of the normalised bytes), keep_id, group_size."""
     largest = keep == "largest"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.mapInArrow(_combine(largest), "norm binary, id long, copies long")
-    ordered = texts.repartitionByRange(_partitions(docs), "norm").sortWithinPartitions("norm")
+    ordered = _sorted(texts, _partitions(docs))
     return ordered.mapInArrow(_neighbours(largest), "sha string, keep_id long, group_size long")
 
 
@@ -158,5 +167,5 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         if held is not None:
             yield held[2]
 
-    texts = plain.mapInArrow(first_pass, schema).repartitionByRange(_partitions(docs), "norm").sortWithinPartitions("norm")
+    texts = _sorted(plain.mapInArrow(first_pass, schema), _partitions(docs))
     return texts.mapInArrow(second_pass, plain.schema).toDF(*names)
