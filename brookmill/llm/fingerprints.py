@@ -32,7 +32,7 @@ WIDE, SIGNS = 8, 63
 FIELD = 0xFFFF | 0xFFFF << 21 | 0xFFFF << 42
 ONES = 1 | 1 << 21 | 1 << 42
 LOW = 0xFFFFFFFF
-BREAK = r"(?<=\n)|(?<=[.!?] )"
+BREAK = r"(?<=\n|[.!?] )(?!\z)"
 #: Ranges that ids are dealt to, and rows looked at to place them.
 MAX_RANGES = 4096
 

@@ -238,7 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
-        known = _Emissions(model)
+        known = None if model.weights is None else _Emissions(model)
         for batch in batches:
             ids, texts = batch.column(0), [t.as_py() or "" for t in batch.column(1)]
             if model.weights is None:
