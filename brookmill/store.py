@@ -254,13 +254,17 @@ class TableStore:
     # -- maintenance -------------------------------------------------------
 
     def compact(self, target_files: int = 1, sort_by: list[str] | None = None) -> tuple[int, int]:
-        """Rewrites the table into fewer files, clustered by ranges of sort_by, so that Parquet's statistics skip files. Streams over changes don't see it. Returns files before and after."""
+        """Rewrites the table into fewer files, clustered by one column or along a Z-order curve of several, so that Parquet's statistics skip files. Streams over changes don't see it. Returns files before and after."""
 
         def change(now: Snapshot) -> tuple[int, int]:
             if now.buckets:
                 raise ValueError("bucketed tables are rewritten by upsert")
             df = self._load(now, now.files)
-            df = df.repartitionByRange(target_files, *sort_by).sortWithinPartitions(*sort_by) if sort_by else df.coalesce(target_files)
+            if sort_by:
+                curve = sort_by if len(sort_by) == 1 else [z_order(df, sort_by)]
+                df = df.repartitionByRange(target_files, *curve).sortWithinPartitions(*curve)
+            else:
+                df = df.coalesce(target_files)
             adds = self._write(df, now)
             self._commit(now, "compact", adds, list(now.files), data_change=False)
             return len(now.files), len(adds)
@@ -284,6 +288,14 @@ def bucket_of(key: str, buckets: int):
     return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
 
 
-def z_order(ranks: list[str], bits: int = 16):
-    """Interleaved bits of small non-negative integer columns, as a sort key that clusters by all of them."""
-    return F.concat(*[F.shiftright(F.col(c).cast("long"), b).bitwiseAND(F.lit(1)).cast("string") for b in range(bits - 1, -1, -1) for c in ranks])
+def z_order(df: DataFrame, columns: list[str], bits: int = 6, sample: int = 2_000):
+    """Interleaved bits of the columns' ranks among values of a bounded sample, as a sort key that clusters by all of them."""
+    n = (1 << bits) - 1
+    rows = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(sample).collect()
+    rank = lambda c, cuts: F.size(F.filter(F.array(*[F.lit(v) for v in cuts]), lambda x: x <= F.col(c)))
+    ranks = []
+    for c in columns:
+        values = sorted({r[c] for r in rows if r[c] is not None})
+        cuts = [values[k * len(values) // (n + 1)] for k in range(1, n + 1)] if values else []
+        ranks.append(rank(c, cuts) if cuts else F.lit(0))
+    return F.concat(*[F.shiftright(F.coalesce(r, F.lit(0)), b).bitwiseAND(F.lit(1)).cast("string") for b in range(bits - 1, -1, -1) for r in ranks])

@@ -1,6 +1,7 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from brookmill.operators.latest import forward_only
 from brookmill.schemas import _table
@@ -87,3 +88,14 @@ def test_forward_only_ignores_null_sides(spark):
     b = spark.createDataFrame([("x", 1, 4), ("y", 2, 1)], "id string, rk int, at int")
     out = forward_only(a, b, "id", rank="rk", event_time="at", follow=["rk"], latest=["at"], earliest=[], fill=[]).orderBy("id").collect()
     assert [tuple(r) for r in out] == [("x", 1, 5), ("y", 2, 1)]
+
+
+def test_z_order_clusters_by_both_columns(spark, tmp_path):
+    schema = _table("zone string, order_id string, n int")
+    rows = [(f"z{i % 16:02d}", f"o{i * 7919 % 4096:04d}", i) for i in range(4096)]
+    t = TableStore(spark, str(tmp_path / "t")).ensure(schema)
+    t.append(spark.createDataFrame(rows, schema).repartition(8))
+    t.compact(16, ["zone", "order_id"])
+    assert sorted(map(tuple, t.read().collect())) == sorted(rows)
+    spans = t.read().groupBy(F.input_file_name()).agg(F.countDistinct("zone"), F.count("*")).collect()
+    assert len(spans) > 4 and max(r[1] for r in spans) < 16

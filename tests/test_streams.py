@@ -10,6 +10,7 @@ from helpers import BASE, bronze, order
 from brookmill import schemas
 from brookmill.config import Settings
 from brookmill.operators import dedup, sla, windows
+from brookmill.plans import panels
 from brookmill.sources.registry import StaticResolver
 from brookmill.sources.simulate import SCHEMAS, Faults, Rates, log_rows
 from brookmill.streaming import flows, metrics
@@ -126,12 +127,21 @@ def test_lake_end_to_end_and_reconciled(spark, tmp_path):
     assert all(r["ok"] for r in checks), [tuple(r) for r in checks]
     assert set(register_views(spark, s)) >= {"events_raw", "order_events", "orders_current", "clickstream", "dead_letter"}
     assert spark.sql("select sum(orders_placed) from zone_metrics_1m").first()[0] is not None
+    t = spark.table
+    totals = panels.kpis(t("zone_metrics_1m"), t("sla_alerts"), t("checkout_conversion"), t("order_events")).first()
+    assert totals["orders"] > 0 and 0 <= totals["conversion_rate"] <= 1 and totals["p95_latency_seconds"] is not None
+    assert panels.per_minute(t("zone_metrics_1m")).count() and panels.per_zone(t("zone_metrics_1m")).count()
+    assert panels.statuses(t("orders_current")).count() and panels.dead_letters(t("dead_letter")).count()
+    assert panels.longest_open(t("sla_alerts")).count() <= 15
+    assert panels.since(t("order_events"), "event_ts", 15).count() == 0
     assert dead_letter_breakdown(spark.table("dead_letter")).count() > 1
     assert all(r["after"] <= r["before"] for r in maintain(spark, s).collect())
     assert all(r["ok"] for r in verify(spark, s, manifest).collect())
     time.sleep(1)
     spark.streams.removeListener(listener)
     assert metrics.recent(spark, s.paths.metrics).where("query = 'silver_orders'").count() >= 1
+    health = panels.stream_health(metrics.recent(spark, s.paths.metrics), ("silver", "gold")).collect()
+    assert len({r["query"] for r in health}) == len(health) >= 5
     assert reset(s, ["silver"]) and "order_events" not in register_views(spark, s)
 
 
