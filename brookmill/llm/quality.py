@@ -30,7 +30,7 @@ from brookmill.llm.common import sigmoid
 from brookmill.llm.toxicity import MAX_SAMPLE_CHARS, _logistic, labelled_sample
 
 DIM = 1 << 14
-MAX_LABELLED, MAX_POOL, ROUNDS = 3_000, 3_000, 3
+MAX_LABELLED, MAX_POOL, ROUNDS = 2_000, 2_000, 3
 #: Share of the pool that a view hands over in one round.
 HANDED = 0.1
 #: Documents below this probability of being good are rejected.
@@ -98,26 +98,28 @@ def meta_features(text: str, lang: str | None, source: str | None, words: list[s
 
 
 class _Rows:
-    """Sparse rows of hashed word frequencies."""
+    """Relative word frequencies of texts as sparse rows, and the hashed features of each word."""
 
     def __init__(self, texts: list[str]):
-        known = _Remembered(word_features)
+        ids: dict[str, int] = {}
         at, of, value = [], [], []
         for k, text in enumerate(texts):
             words = text.split()
             if words:
-                f, n = np.unique(np.array([known[w] for w in words]).ravel(), return_counts=True)
-                at.append(f)
-                of.append(np.full(len(f), k))
+                w, n = np.unique(np.array([ids.setdefault(x, len(ids)) for x in words]), return_counts=True)
+                at.append(w)
+                of.append(np.full(len(w), k))
                 value.append(n / len(words))
         self.n = len(texts)
+        self.table = np.array([word_features(w) for w in ids], np.int64).reshape(-1, 3)
         self.at, self.of, self.value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (of, np.int64), (value, float)))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, self.value * w[self.at], self.n)
+        return np.bincount(self.of, self.value * w[self.table].sum(axis=1)[self.at], self.n)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, self.value * r[self.of], DIM)
+        by_word = np.bincount(self.at, self.value * r[self.of], len(self.table))
+        return np.bincount(self.table.ravel(), np.repeat(by_word, 3), DIM)
 
 
 def _fit_words(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
