@@ -55,8 +55,8 @@ def statuses(current: DataFrame) -> DataFrame:
 def stream_health(progress: DataFrame, layers: tuple[str, ...] = ()) -> DataFrame:
     """Newest progress of each query with the late rows it has dropped so far."""
     rows = progress.where(F.split("query", "_")[0].isin(*layers)) if layers else progress
-    last = keep_first(rows, ["query"], [F.desc("batch_id"), F.desc("timestamp")]).drop("dropped_late")
-    return last.join(rows.groupBy("query").agg(F.sum("dropped_late").alias("dropped_late")), "query", "left")
+    last = keep_first(rows, ["query"], [F.desc("batch_id"), F.desc("timestamp")]).drop("rows_dropped_by_watermark")
+    return last.join(rows.groupBy("query").agg(F.sum("rows_dropped_by_watermark").alias("rows_dropped_by_watermark")), "query", "left")
 
 
 def dead_letters(dead: DataFrame) -> DataFrame:

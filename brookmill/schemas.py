@@ -16,7 +16,8 @@ def _table(columns: str) -> T.StructType:
 
 # Fixed values.
 STATUS_RANK = {"PLACED": 1, "ACCEPTED": 2, "PICKED_UP": 3, "DELIVERED": 4, "CANCELLED": 4}
-CLICK_TYPES = ("search", "view_restaurant", "add_to_cart", "checkout_started", "session_end")
+CLICK_TYPES = ("app_open", "search", "view_restaurant", "add_to_cart", "checkout_started")
+NOT_FRAMED, UNKNOWN_SCHEMA, UNDECODABLE, MALFORMED = "NOT_CONFLUENT_AVRO", "UNKNOWN_SCHEMA_ID", "AVRO_DECODE_ERROR", "MALFORMED_JSON"
 ORDER_TOPIC, CLICK_TOPIC = "order_events", "clickstream"
 
 #: Latest version of an order event; earlier ones lack payment_method.

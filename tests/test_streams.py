@@ -55,7 +55,7 @@ def test_windows_drop_what_is_later_than_the_watermark(spark, tmp_path):
     assert rows[0]["orders_placed"] == 1 and str(rows[0]["gmv"]) == "10.00"
     import json
 
-    assert sum(metrics.summarise(json.loads(p.json))["dropped_late"] for p in query.recentProgress) == 1
+    assert sum(metrics.summarise(json.loads(p.json))["rows_dropped_by_watermark"] for p in query.recentProgress) == 1
 
 
 def test_sla_timers_fire_on_streams(spark, tmp_path):
