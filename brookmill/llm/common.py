@@ -21,7 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor reaches: spark.checkpoint.dir, or a fresh temporary one where it is unset (tests)."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(sc, "_brookmill_shared", None)
         if root is None:
