@@ -17,6 +17,8 @@ import numpy as np
 _ODD_SPACE = re.compile(r"\s\s")
 #: Letters that neither normalisation nor splitting touches (but for case).
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters followed by visible ASCII marks other than the apostrophe, which can begin a unit of letters.
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -27,6 +29,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _byte_alphabet()
+_BLANK = _ALPHABET[32]
 
 
 class Encoder:
@@ -53,26 +56,28 @@ class Encoder:
         """Ids of one unit of letters, by the tokenizer's model alone."""
         if not self.leading_blank:
             word = word.lower()
-        if word.isascii() and word[0] != " ":
-            tokens = self.model.tokenize(word)
+        if word.isascii():
+            tokens = self.model.tokenize(word.replace(" ", _BLANK))
         else:
             tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], blank: str) -> None:
-        """Ids of unseen pieces. A stem and the full stop or comma after its last letter never merge."""
+    def _learn(self, known: dict[str, bytes], pieces: set[str], blank: str) -> None:
+        """Ids of unseen pieces. Letters and the marks after them are two units, which never merge."""
         stems: dict[str, None] = {}
-        parts = {}
+        parts, tails = {}, {}
         for piece in pieces:
-            if len(piece) > 1 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalpha():
-                parts[piece] = stem = piece[:-1]
-            else:
-                stem = piece
+            marked = _MARKED.fullmatch(piece)
+            stem = piece
+            if marked:
+                stem = marked[1]
+                parts[piece] = stem, marked[2]
+                if marked[2] not in self.bare:
+                    tails[marked[2]] = None
             if stem not in known:
                 stems[stem] = None
-        for mark in ".,":
-            if mark not in self.bare:
-                self.bare[mark] = self._whole([mark])[0]
+        if tails:
+            self.bare.update(zip(tails, self._whole(list(tails))))
         mixed = []
         for stem in stems:
             if _LETTERS.fullmatch(stem):
@@ -81,17 +86,17 @@ class Encoder:
                 mixed.append(stem)
         if mixed:
             known.update(zip(mixed, self._whole([blank + s for s in mixed])))
-        for piece, stem in parts.items():
-            known[piece] = known[stem] + self.bare[piece[-1]]
+        for piece, (stem, tail) in parts.items():
+            known[piece] = known[stem] + self.bare[tail]
 
     def _look_up(self, known: dict[str, bytes], pieces: list[str], blank: str) -> list[bytes]:
-        try:
-            return [known[p] for p in pieces]
-        except KeyError:
+        unseen = set(pieces).difference(known)
+        if unseen:
             if len(known) > self.most:
-                known.clear()
-            self._learn(known, list({p: None for p in pieces if p not in known}), blank)
-            return [known[p] for p in pieces]
+                known.clear()  # of both tables where one dict serves as both
+                unseen = set(pieces)
+            self._learn(known, unseen, blank)
+        return list(map(known.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         if not text:
