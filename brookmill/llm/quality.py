@@ -2,13 +2,15 @@
 
 Two logistic regressions see a document from two sides: one its words (hashed words, word ends and word shapes, by
 relative frequency), the other its page metadata (language, source, size, line layout, share of capitals, digits, marks
-and repeated lines and words). Both start from labelled documents. In each round they score a pool of unlabelled ones, and each
-hands the other those it is surest of, as many of either class as its share among the labels allows. After the last
+and repeated lines and words). Both start from labelled documents. In each round they score all unlabelled ones on the executors
+(each distinct text once), and each hands the other those it is surest of, as many of either class as its share among the labels allows. After the last
 round each view is calibrated on labelled documents that no round has trained on, and the calibrated log-odds are
 added up, less those of the prior (the views count as independent given the class), to score every document in full.
 
-The fit takes at most `max_labelled` labelled and `max_pool` unlabelled documents, in the order of a hash of their ids
-(texts up to MAX_SAMPLE_CHARS); whatever else is computed covers all rows.
+The fit learns from at most `max_labelled` labelled documents, in the order of a hash of their ids, and a view hands over at
+most HANDED times `max_pool` distinct texts in a round (both up to MAX_SAMPLE_CHARS); they are chosen from all unlabelled
+rows, and whatever else is computed covers all rows. Texts are told apart by a 64-bit hash; of rows with one text that of
+the smallest language and source is scored.
 
 Defined cases: a null text counts as empty; null languages and sources are values of their own; null labels are not
 used; without both classes among the labels every document scores the share of good ones (1 without labels) and is
@@ -26,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.common import sigmoid
+from brookmill.llm.common import durable, sigmoid
 from brookmill.llm.toxicity import MAX_SAMPLE_CHARS, _logistic, labelled_sample
 
 DIM = 1 << 14
 MAX_LABELLED, MAX_POOL, ROUNDS = 2_000, 2_000, 3
-#: Share of the pool that a view hands over in one round.
+#: Share of the unlabelled texts, or of max_pool if that is less, that a view hands over in one round.
 HANDED = 0.1
 #: Documents below this probability of being good are rejected.
 THRESHOLD = 0.3
+#: Raw score beyond which a view counts as sure.
+SURE = 1.0
 #: Number of words at which the word view counts half.
 SHORT = 20
 REMEMBERED = 300_000
@@ -150,56 +154,103 @@ class Model:
         return sigmoid(by_words), sigmoid(by_meta), sigmoid(by_words + by_meta - self.prior)
 
 
-def train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> Model:
-    """labelled: (text, lang, source, label); pool: (text, lang, source)."""
+class _Listed:
+    """Unlabelled (text, lang, source) in memory."""
+
+    def __init__(self, pool: list[tuple]):
+        self.pool, self.size = pool, len(pool)
+
+    def surest(self, model: Model, low: int, high: int, known: list[set]) -> list[tuple]:
+        """(giver, key, label, row): the documents each view is surest of, without those that the other one knows."""
+        if not self.pool:
+            return []
+        views, out = _raw_views(model)(*zip(*self.pool)), []
+        for giver in (0, 1):
+            z = views[giver]
+            order = [int(k) for k in np.argsort(z, kind="stable") if int(k) not in known[1 - giver]]
+            out += [(giver, k, 0.0, self.pool[k]) for k in order[:low] if z[k] < -SURE]
+            out += [(giver, k, 1.0, self.pool[k]) for k in order[::-1][:high] if z[k] > SURE]
+        return out
+
+
+class _Stored:
+    """All unlabelled rows of a table with columns text, lang, source; scored on the executors, nothing but the surest reaches the driver."""
+
+    def __init__(self, rows: DataFrame, max_pool: int):
+        usable = rows.where(F.char_length("text") <= MAX_SAMPLE_CHARS)
+        self.rows = usable.withColumn("key", F.xxhash64("text"))
+        self.size = min(max_pool, self.rows.select("key").distinct().count())
+
+    def surest(self, model: Model, low: int, high: int, known: list[set]) -> list[tuple]:
+        def run(batches):
+            views = _raw_views(model)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 500):
+                    part = batch.slice(k, 500)
+                    z = views(*(part.column(i).to_pylist() for i in range(3)))[:2]
+                    yield pa.RecordBatch.from_arrays([part.column(3), part.column(1), part.column(2), *[pa.array(v, pa.float64()) for v in z]], names=["key", "lang", "source", "z0", "z1"])
+
+        scored = self.rows.select("text", "lang", "source", "key").mapInArrow(run, "key long, lang string, source string, z0 double, z1 double")
+        distinct = durable(scored.groupBy("key").agg(F.min(F.struct("lang", "source", "z0", "z1")).alias("s")).select("key", "s.*"))
+        picked = []
+        for giver in (0, 1):
+            z, free = F.col(f"z{giver}"), distinct.where(~F.col("key").isin(list(known[1 - giver]))) if known[1 - giver] else distinct
+            picked += [(giver, r["key"], 0.0) for r in free.where(z < -SURE).orderBy(z, "key").limit(low).collect()]
+            picked += [(giver, r["key"], 1.0) for r in free.where(z > SURE).orderBy(z.desc(), "key").limit(high).collect()]
+        if not picked:
+            return []
+        spark = self.rows.sparkSession
+        keys = spark.createDataFrame([(k,) for k in sorted({k for _, k, _ in picked})], "key long")
+        chosen = self.rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min(F.struct("lang", "source", "text")).alias("s")).collect()
+        found = {r["key"]: (r["s"]["text"], r["s"]["lang"], r["s"]["source"]) for r in chosen}
+        return [(giver, k, label, found[k]) for giver, k, label in picked]
+
+
+def train(labelled: list[tuple], pool, rounds: int = ROUNDS) -> Model:
+    """labelled: (text, lang, source, label); pool: (text, lang, source) in a list, or _Stored."""
     y = np.array([row[3] for row in labelled], float)
     if not len(y) or y.min() == y.max():
         return Model(base=float(y.mean()) if len(y) else 1.0)
-    everything = [row[:3] for row in labelled] + list(pool)
+    pool = pool if isinstance(pool, _Stored) else _Listed(list(pool))
     n = len(labelled)
-    rows = _Rows([t for t, _, _ in everything])
-    meta = np.array([meta_features(*row) for row in everything])
-    held = np.zeros(len(everything), bool)
-    held[:n] = np.arange(n) % 4 == 3  # for calibration
-    if len(set(y[held[:n]])) < 2 or len(set(y[~held[:n]])) < 2:
+    held = np.arange(n) % 4 == 3  # for calibration
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    target = np.concatenate([y, np.full(len(pool), -1.0)])
-    known = [np.concatenate([~held[:n], np.zeros(len(pool), bool)]) for _ in range(2)]  # what each view trains on
-    labels = [target.copy(), target.copy()]
+    texts, position = [row[:3] for row in labelled], {}
+    labels = [list(np.where(held, -1.0, y)) for _ in range(2)]  # what each view trains on; -1: not known to it
+    known: list[set] = [set(), set()]
     model = Model()
     share = y.mean()
 
-    def balanced(use, t):
-        good, bad = max(1, (use & (t == 1)).sum()), max(1, (use & (t == 0)).sum())
+    def balanced(t):
+        good, bad = max(1, (t == 1).sum()), max(1, (t == 0).sum())
         return np.where(t == 1, 0.5 * (good + bad) / good, 0.5 * (good + bad) / bad) ** 0.5
 
     def fit():
-        model.words, model.bias = _fit_words(rows, known[0], np.clip(labels[0], 0, 1), balanced(known[0], labels[0]))
-        use = known[1]
-        model.meta = _weighted(meta[use], labels[1][use], balanced(use, labels[1])[use])
+        rows, meta = _Rows([t for t, _, _ in texts]), np.array([meta_features(*row) for row in texts])
+        of_words, of_meta = (np.array(v) for v in labels)
+        model.words, model.bias = _fit_words(rows, of_words >= 0, np.clip(of_words, 0, 1), balanced(of_words))
+        use = of_meta >= 0
+        model.meta = _weighted(meta[use], of_meta[use], balanced(of_meta)[use])
         return rows.dot(model.words) + model.bias, meta @ model.meta
 
     scores = fit()
-    for _ in range(rounds if pool else 0):
-        quota = max(1, int(HANDED * len(pool)))
-        moved = 0
-        for giver, taker in ((0, 1), (1, 0)):
-            free = np.flatnonzero(~known[taker] & ~held & (np.arange(len(everything)) >= n))
-            if not len(free):
-                continue
-            s = scores[giver][free]
-            order = free[np.argsort(s, kind="stable")]
-            low, high = max(1, int(quota * (1 - share))), max(1, int(quota * share))
-            for picked, label, sure in ((order[:low], 0.0, lambda z: z < -1.0), (order[::-1][:high], 1.0, lambda z: z > 1.0)):
-                picked = picked[sure(scores[giver][picked])]
-                labels[taker][picked] = label
-                known[taker][picked] = True
-                moved += len(picked)
-        model.handed.append(moved)
+    quota = max(1, int(HANDED * pool.size))
+    for _ in range(rounds if pool.size else 0):
+        moved = pool.surest(model, max(1, int(quota * (1 - share))), max(1, int(quota * share)), known)
+        for giver, key, label, row in moved:
+            if key not in position:
+                position[key] = len(texts)
+                texts.append(row)
+                for v in labels:
+                    v.append(-1.0)
+            labels[1 - giver][position[key]] = label
+            known[1 - giver].add(key)
+        model.handed.append(len(moved))
         if not moved:
             break
         scores = fit()
-    of = held[:n] if held.any() else np.ones(n, bool)
+    of = held if held.any() else np.ones(n, bool)
     views = [s[:n][of] for s in scores]
     t = y[of]
     model.calibration = tuple(tuple(_logistic(np.stack([np.ones(len(t)), v], axis=1), t)) for v in views)
@@ -221,27 +272,39 @@ def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", lang_col="lang", source_col="source", max_labelled=MAX_LABELLED, max_pool=MAX_POOL, rounds=ROUNDS) -> Model:
-    """Co-trained model from the bounded samples."""
+    """Co-trained model from the bounded sample of labelled documents and all unlabelled ones."""
     more = dict(id_col=id_col, text_col=text_col, columns=(lang_col, source_col))
     sample = labelled_sample(docs, labels, label_col=label_col, max_labelled=max_labelled, **more)
-    free = docs.select(F.col(id_col).cast("long").alias(id_col)).join(labels.select(F.col(id_col).cast("long").alias(id_col)).distinct(), id_col, "left_anti")
-    pool = labelled_sample(docs, free.withColumn("_any", F.lit(0)), label_col="_any", max_labelled=max_pool, **more)
-    return train([(r["_text"], r["_m0"], r["_m1"], r["_label"]) for r in sample], [(r["_text"], r["_m0"], r["_m1"]) for r in pool], rounds)
+    text = lambda c: F.col(c).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text(text_col), F.lit("")).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
+    free = rows.join(labels.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_anti")
+    learned = [(r["_text"], r["_m0"], r["_m1"], r["_label"]) for r in sample]
+    return train(learned, _Stored(free, max_pool) if len({row[3] for row in learned}) > 1 else [], rounds)
 
 
-def _views(model: Model):
-    """Function from lists of texts, languages and sources to (word view, metadata view, joint probability)."""
+def _raw_views(model: Model):
+    """Function from lists of texts, languages and sources to (word view, metadata view, numbers of words), not calibrated."""
     w = model.words
     known = _Remembered(lambda word: float(sum(w[f] for f in word_features(word))))
 
     def run(texts, langs, sources):
-        if w is None:
-            flat = np.full(len(texts), model.base)
-            return flat, flat, flat
         words = [text.split() for text in texts]
         a = np.array([sum([known[x] for x in ws]) / len(ws) if ws else 0.0 for ws in words]) + model.bias
         b = np.array([meta_features(*row) @ model.meta for row in zip(texts, langs, sources, words)]).reshape(-1)
-        n = np.array([len(ws) for ws in words], float)
+        return a, b, np.array([len(ws) for ws in words], float)
+
+    return run
+
+
+def _views(model: Model):
+    """Function from lists of texts, languages and sources to (word view, metadata view, joint probability)."""
+    raw = _raw_views(model)
+
+    def run(texts, langs, sources):
+        if model.words is None:
+            flat = np.full(len(texts), model.base)
+            return flat, flat, flat
+        a, b, n = raw(texts, langs, sources)
         return model.combine(a, b, n / (n + SHORT))
 
     return run
