@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches: spark.checkpoint.dir, or a fresh temporary one where it is unset (tests)."""
+    """Folder that every executor reaches: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(sc, "_brookmill_shared", None)
         if root is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = sc._brookmill_shared = "file://" + tempfile.mkdtemp(prefix="brookmill-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
@@ -72,16 +73,18 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def slices(rows: Iterable, size: int) -> Iterator[list]:
-    part: list = []
-    for row in rows:
-        part.append(row)
-        if len(part) >= size:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; the first column of x is constant."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(len(w)) / 10
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * len(y) / 10 * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w

@@ -27,14 +27,16 @@ from brookmill.llm.tokens import encoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 _ARROW = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in [c.split()[0] for c in SCHEMA.split(", ")]])
 POOL = 384
+#: Finished rows leave a task in batches of about so many bytes.
+OUT_BYTES = 4 << 20
 
 
 class Packer:
     """Streams pieces (doc_id, start, ids, doc_tokens, prompt) into sequences. `out` collects finished rows."""
 
-    def __init__(self, base: int, max_tokens: int, max_segments: int, max_loss: int):
-        self.limits = (max_tokens, max_segments, max_loss)
-        self.sequence, self.out = base, []
+    def __init__(self, base: int, max_tokens: int, max_segments: int, max_loss: int, with_ids: bool = True):
+        self.limits, self.with_ids = (max_tokens, max_segments, max_loss), with_ids
+        self.sequence, self.out, self.out_bytes = base, [], 0
         self.pool: list[tuple] = []
         self.need = np.zeros((0, 2))
         self.open: list[tuple] = []
@@ -62,7 +64,8 @@ class Packer:
         offset = 0
         for doc_id, start, ids, total, prompt in pieces:
             n = len(ids) // 4
-            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.sequence, offset, self.loss(start, n, prompt), bytes(ids)))
+            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.sequence, offset, self.loss(start, n, prompt), bytes(ids) if self.with_ids else None))
+            self.out_bytes += 100 + len(ids) * self.with_ids
             offset += n
         self.sequence += 1
 
@@ -164,20 +167,18 @@ def pack(
 
     def run(batches):
         enc, end = encoder(vocabulary, leading_blank), np.array([end_id], "<u4").tobytes()
-        packer = Packer(TaskContext.get().partitionId() << 40, max_tokens, max_segments, limit)
+        packer = Packer(TaskContext.get().partitionId() << 40, max_tokens, max_segments, limit, with_ids)
 
         def ready():
-            done, packer.out = packer.out, []
+            done, packer.out, packer.out_bytes = packer.out, [], 0
             columns = list(zip(*done)) or [()] * len(_ARROW)
-            if not with_ids:
-                columns[-1] = [None] * len(done)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
         for batch in batches:
             for doc_id, before, text in zip(*(batch.column(i) for i in range(3))):
                 head = enc.encode(before.as_py() or "")
                 packer.add(doc_id.as_py(), head + enc.encode(text.as_py() or "") + end, len(head) // 4)
-                if len(packer.out) >= 20_000:
+                if packer.out_bytes >= OUT_BYTES:
                     yield ready()
         packer.finish()
         yield ready()

@@ -1,9 +1,13 @@
 """Token ids of whole texts with the tokenizers library, at the cost of distinct words rather than of all words.
 
 Both vocabularies split a text before any merge, and a blank between two visible characters is always such a split.
-So a text is cut there, and the ids of each piece are remembered in a table of bounded size. A piece of Latin letters is
-one unit to both vocabularies and goes straight to the tokenizer's merges, any other through the whole tokenizer. A text with any other white space than single blanks and line ends between visible characters is encoded
-whole. Results equal those of encoding each text at once, which the tests hold against the library.
+So a text is cut there, and the ids of each piece are remembered in a table of bounded bytes. A piece of Latin letters is
+one unit to both vocabularies and goes straight to the tokenizer's merges, any other through the whole tokenizer. A text
+with any other white space than single blanks and line ends between visible characters is encoded whole. Results equal
+those of encoding each text at once, which the tests hold against the library.
+
+Defined cases: a null or empty text has no ids; pieces of any length are encoded whole, those over LONG characters are not
+remembered; a text of more than PART pieces is looked up in parts, so the table exceeds its bound by one part at most.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ from array import array
 import numpy as np
 
 _ODD_SPACE = re.compile(r"\s\s")
-#: Letters that neither normalisation nor splitting touches (but for case).
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Letters followed by visible ASCII marks other than the apostrophe, which can begin a unit of letters.
-_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Letters that neither normalisation nor splitting touches (but for case), with a blank before them or not.
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Visible ASCII marks other than the apostrophe, which can begin a unit of letters.
+_MARKS = re.compile("[!-&(-/:-@\\[-`{-~]+")
+#: What a table entry takes besides its characters and ids; pieces of more characters are not remembered; pieces looked up at a time.
+ENTRY_BYTES, LONG, PART = 220, 64, 20_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -32,22 +38,48 @@ _ALPHABET = _byte_alphabet()
 _BLANK = _ALPHABET[32]
 
 
+class _Known:
+    """Ids by piece in two generations: when the young one reaches half of the bytes allowed it becomes the old one, from which pieces that occur again come back."""
+
+    def __init__(self, most_bytes: int):
+        self.most, self.young, self.old, self.bytes = most_bytes // 2, {}, {}, 0
+
+    def put(self, piece: str, ids: bytes) -> None:
+        self.young[piece] = ids
+        self.bytes += ENTRY_BYTES + len(piece) + len(ids)
+
+    def turn(self) -> None:
+        if self.bytes > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
+
+    def missing(self, pieces: list[str]) -> list[str]:
+        """Pieces of neither generation; those of the old one move to the young one."""
+        out = []
+        for piece in set(pieces).difference(self.young):
+            ids = self.old.get(piece)
+            if ids is None:
+                out.append(piece)
+            else:
+                self.put(piece, ids)
+        return out
+
+
 class Encoder:
     """ids of a text as the bytes of little-endian unsigned 32-bit integers.
 
     path: vocabulary file of the tokenizers library. leading_blank: whether a piece differs with a blank before it
-    (byte-level vocabularies) or blanks are dropped (word-end vocabularies). most: pieces remembered.
+    (byte-level vocabularies) or blanks are dropped (word-end vocabularies). most_bytes: size of the table of pieces.
     """
 
-    def __init__(self, path: str, leading_blank: bool, most: int = 400_000):
+    def __init__(self, path: str, leading_blank: bool, most_bytes: int = 96 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.leading_blank, self.most = leading_blank, most
-        self.bare: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {} if leading_blank else self.bare
+        self.leading_blank = leading_blank
+        self.known, self.tails = _Known(most_bytes), _Known(1 << 20)
+        self.line_end = self._whole(["\n"])[0] if leading_blank else b""
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,69 +94,71 @@ class Encoder:
             tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], blank: str) -> None:
-        """Ids of unseen pieces. Letters and the marks after them are two units, which never merge."""
-        stems: dict[str, None] = {}
-        parts, tails = {}, {}
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails.young:
+            self.tails.turn()
+            for piece in self.tails.missing([marks]):
+                self.tails.put(piece, self._whole([piece])[0])
+        return self.tails.young[marks]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of unseen pieces. Letters and the marks after them are two units, which never merge; a line end before a piece is a unit too."""
+        mixed, young, size = [], self.known.young, 0
+        blank = " " if self.leading_blank else ""
         for piece in pieces:
-            marked = _MARKED.fullmatch(piece)
-            stem = piece
-            if marked:
-                stem = marked[1]
-                parts[piece] = stem, marked[2]
-                if marked[2] not in self.bare:
-                    tails[marked[2]] = None
-            if stem not in known:
-                stems[stem] = None
-        if tails:
-            self.bare.update(zip(tails, self._whole(list(tails))))
-        mixed = []
-        for stem in stems:
-            if _LETTERS.fullmatch(stem):
-                known[stem] = self._letters(blank + stem)
+            before, bare = b"", blank + piece
+            if blank and piece[:1] == "\n":
+                before, bare = self.line_end, piece[1:]
+            letters = _LETTERS.match(bare)
+            end = letters.end() if letters else 0
+            if end == len(bare) and end:
+                ids = before + self._letters(bare)
+            elif end and _MARKS.fullmatch(bare, end):
+                ids = young.get(piece[: end - len(bare)])  # of the letters alone
+                ids = (before + self._letters(bare[:end]) if ids is None else ids) + self._tail(bare[end:])
             else:
-                mixed.append(stem)
+                mixed.append((piece, before, bare))
+                continue
+            young[piece] = ids
+            size += ENTRY_BYTES + len(piece) + len(ids)
+        self.known.bytes += size
         if mixed:
-            known.update(zip(mixed, self._whole([blank + s for s in mixed])))
-        for piece, (stem, tail) in parts.items():
-            known[piece] = known[stem] + self.bare[tail]
+            for (piece, before, _), ids in zip(mixed, self._whole([bare for _, _, bare in mixed])):
+                self.known.put(piece, before + ids)
 
-    def _look_up(self, known: dict[str, bytes], pieces: list[str], blank: str) -> list[bytes]:
-        unseen = set(pieces).difference(known)
+    def _look_up(self, pieces: list[str]) -> bytes:
+        known = self.known
+        known.turn()
+        unseen = known.missing(pieces)
         if unseen:
-            if len(known) > self.most:
-                known.clear()  # of both tables where one dict serves as both
-                unseen = set(pieces)
-            self._learn(known, unseen, blank)
-        return list(map(known.__getitem__, pieces))
+            self._learn(unseen)
+        out = b"".join(map(known.young.__getitem__, pieces))
+        for piece in unseen:
+            if len(piece) > LONG:
+                known.bytes -= ENTRY_BYTES + len(piece) + len(known.young.pop(piece))
+        return out
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.leading_blank:
+        if self.leading_blank:
+            if _ODD_SPACE.search(text):
+                return self._whole([text])[0]
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\n" + pieces[0]  # at the start of a text as at that of a line
+        else:
             pieces = text.replace("\n", " ").split(" ")
-            return b"".join(self._look_up(self.bare, pieces, ""))
-        if _ODD_SPACE.search(text):
-            return self._whole([text])[0]
-        lines = [line.split(" ") for line in text.split("\n")]
-        first = self._look_up(self.bare, [words[0] for words in lines] + ["\n"], "")
-        rest = self._look_up(self.after_blank, [w for words in lines for w in words[1:]], " ")
-        out, at = [], 0
-        for k, words in enumerate(lines):
-            if k:
-                out.append(first[-1])
-            out.append(first[k])
-            out += rest[at : at + len(words) - 1]
-            at += len(words) - 1
-        return b"".join(out)
+        out = b"".join([self._look_up(pieces[k : k + PART]) for k in range(0, len(pieces), PART)])
+        return out[len(self.line_end) :]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, leading_blank: bool) -> Encoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, which may outlive a task; its memory is the vocabulary and the bounded table."""
     key = (path, leading_blank)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = Encoder(path, leading_blank)
     return _encoders[key]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.common import sigmoid
+from brookmill.llm.common import logistic, sigmoid
 
 DIM = 1 << 18
 MAX_LABELLED, MAX_LINES, MAX_SAMPLE_CHARS = 4_000, 6_000, 100_000
@@ -121,19 +121,6 @@ def _marked_words(texts: list[str], toxic: np.ndarray, least: float = 20.0) -> s
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the first column of x is constant."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(len(w)) / 10
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * len(y) / 10 * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def train(texts: list[str], toxic: list[int], max_lines: int = MAX_LINES, rounds: int = 50) -> Model:
     """Chain and calibration from labelled documents, in the order given."""
     y = np.asarray(toxic, np.int64)
@@ -171,7 +158,7 @@ def train(texts: list[str], toxic: list[int], max_lines: int = MAX_LINES, rounds
         w, b, theta = w + 0.5 * up / np.sqrt(gw), b + 0.5 * ub / np.sqrt(gb), theta + 0.3 * ut / np.sqrt(gt)
     model = Model(w.astype(np.float32), float(b), tuple(np.exp(theta)))
     x = np.array([[1.0, *evidence] for evidence, _ in _evidence(texts, model, _Emissions(model))])
-    model.scale = tuple(_logistic(x, y.astype(float)))
+    model.scale = tuple(logistic(x, y.astype(float)))
     return model
 
 

@@ -21,7 +21,7 @@ def plain(path, text):
     return PLAIN[path].encode(text or "", add_special_tokens=False).ids
 
 
-ENCODERS = {WORD: Encoder(WORD, False, most=50), BYTE: Encoder(BYTE, True, most=50)}
+ENCODERS = {WORD: Encoder(WORD, False, most_bytes=12_000), BYTE: Encoder(BYTE, True, most_bytes=12_000)}
 
 
 @settings(max_examples=150, deadline=None)
