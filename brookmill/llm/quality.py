@@ -7,10 +7,12 @@ and repeated lines and words). Both start from labelled documents. In each round
 round each view is calibrated on labelled documents that no round has trained on, and the calibrated log-odds are
 added up, less those of the prior (the views count as independent given the class), to score every document in full.
 
-The fit learns from at most `max_labelled` labelled documents, in the order of a hash of their ids, and a view hands over at
-most HANDED times `max_pool` distinct texts in a round (both up to MAX_SAMPLE_CHARS); they are chosen from all unlabelled
-rows, and whatever else is computed covers all rows. Texts are told apart by a 64-bit hash; of rows with one text that of
-the smallest language and source is scored.
+Whole texts are read once: their features (hashed word frequencies as sparse rows, and metadata) are written to the shared
+folder, and the rounds score those. The fit learns from at most `max_labelled` distinct labelled texts, in the order of a
+hash of their ids, and a view hands over at most HANDED times `max_pool` distinct texts in a round; they are chosen from all
+unlabelled rows, and whatever else is computed covers all rows. What the driver gathers is features, at most DIM entries of
+6 bytes a text however long it is. Texts are told apart by a 64-bit hash; of rows with one text that of the smallest
+language and source is scored.
 
 Defined cases: a null text counts as empty; null languages and sources are values of their own; null labels are not
 used; without both classes among the labels every document scores the share of good ones (1 without labels) and is
@@ -20,18 +22,21 @@ kept; rows that repeat an id are scored each for itself; other columns are not r
 from __future__ import annotations
 
 import operator
+import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.common import durable, sigmoid
-from brookmill.llm.toxicity import MAX_SAMPLE_CHARS, _logistic, labelled_sample
+from brookmill.llm.common import durable, logistic, new_folder, sigmoid
 
-DIM = 1 << 14
+BITS = 14
+DIM = 1 << BITS
 MAX_LABELLED, MAX_POOL, ROUNDS = 2_000, 2_000, 3
 #: Share of the unlabelled texts, or of max_pool if that is less, that a view hands over in one round.
 HANDED = 0.1
@@ -41,7 +46,7 @@ THRESHOLD = 0.3
 SURE = 1.0
 #: Number of words at which the word view counts half.
 SHORT = 20
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -50,14 +55,27 @@ def _bucket(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % DIM
 
 
+class _Classes(dict):
+    """Class of a character by its code point, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return k
+
+
+_classes, _REPEATS = _Classes(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def word_features(word: str) -> tuple[int, int, int]:
     """Hashed word, its end, and its shape: classes of characters, repeats merged, with a coarse length."""
-    shape = []
-    for c in word[:32]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not shape or shape[-1] != k:
-            shape.append(k)
-    return _bucket("w" + word.lower()), _bucket("e" + word[-3:]), _bucket(f"s{''.join(shape[:6])}/{min(4, len(word) // 4)}")
+    shape = _REPEATS.sub(r"\1", word[:32].translate(_classes))
+    return _bucket("w" + word.lower()), _bucket("e" + word[-3:]), _bucket(f"s{shape[:6]}/{min(4, len(word) // 4)}")
+
+
+def _packed(word: str) -> int:
+    a, b, c = word_features(word)
+    return a | b << BITS | c << 2 * BITS
 
 
 class _Remembered(dict):
@@ -101,29 +119,90 @@ def meta_features(text: str, lang: str | None, source: str | None, words: list[s
     return x
 
 
+class Features(NamedTuple):
+    """What both views see of a text: relative frequencies by hashed feature, number of words, metadata."""
+
+    buckets: np.ndarray
+    values: np.ndarray
+    words: int
+    meta: np.ndarray
+
+
+def features(text: str | None, lang: str | None, source: str | None, known: dict) -> Features:
+    words = (text or "").split()
+    meta = meta_features(text or "", lang, source, words).astype(np.float32)
+    if not words:
+        return Features(np.zeros(0, np.uint16), np.zeros(0, np.float32), 0, meta)
+    counts = Counter(words)
+    packed = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+    n = np.fromiter(counts.values(), np.float64, len(counts))
+    total = np.bincount(np.concatenate([packed >> k * BITS & DIM - 1 for k in range(3)]), np.tile(n, 3))
+    at = np.flatnonzero(total)
+    return Features(at.astype(np.uint16), (total[at] / len(words)).astype(np.float32), len(words), meta)
+
+
 class _Rows:
-    """Relative word frequencies of texts as sparse rows, and the hashed features of each word."""
-
-    def __init__(self, texts: list[str]):
-        ids: dict[str, int] = {}
-        at, of, value = [], [], []
-        for k, text in enumerate(texts):
-            words = text.split()
-            if words:
-                w, n = np.unique(np.array([ids.setdefault(x, len(ids)) for x in words]), return_counts=True)
-                at.append(w)
-                of.append(np.full(len(w), k))
-                value.append(n / len(words))
-        self.n = len(texts)
-        self.table = np.array([word_features(w) for w in ids], np.int64).reshape(-1, 3)
-        self.at, self.of, self.value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (of, np.int64), (value, float)))
+    """Sparse rows of relative word frequencies, and the metadata of the same texts."""
+
+    def __init__(self, found: list[Features]):
+        self.n = len(found)
+        self.of = np.repeat(np.arange(self.n), [len(f.buckets) for f in found])
+        self.at = np.concatenate([f.buckets for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+        self.value = np.concatenate([f.values for f in found]).astype(float) if found else np.zeros(0)
+        self.words = np.array([f.words for f in found], float)
+        self.meta = np.array([f.meta for f in found], float).reshape(self.n, -1)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, self.value * w[self.table].sum(axis=1)[self.at], self.n)
+        return np.bincount(self.of, self.value * w[self.at], self.n)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        by_word = np.bincount(self.at, self.value * r[self.of], len(self.table))
-        return np.bincount(self.table.ravel(), np.repeat(by_word, 3), DIM)
+        return np.bincount(self.at, self.value * r[self.of], DIM)
+
+    def views(self, model) -> tuple[np.ndarray, np.ndarray]:
+        """Raw scores by words and by metadata."""
+        return self.dot(model.words) + model.bias, self.meta @ model.meta if self.n else np.zeros(0)
+
+
+FEATURES = "row long, id long, key long, lang string, source string, words long, buckets binary, values binary, meta binary"
+
+
+def featurised(rows: DataFrame) -> DataFrame:
+    """Features of every row of a table with columns text, lang, source and, if there is one, id, as files in the shared folder."""
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+    own = F.col("id").cast("long") if "id" in rows.columns else F.lit(None).cast("long")
+
+    def run(batches):
+        known = _Remembered(_packed)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                found = [features(*row, known) for row in zip(*(part.column(i).to_pylist() for i in (5, 3, 4)))]
+                made = [pa.array([f.words for f in found], pa.int64()), *[pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1, 3)]]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(5)] + made, names=names)
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), own.alias("id"), F.xxhash64("text").alias("key"), "lang", "source", "text")
+    path = new_folder(rows.sparkSession, "quality-features")
+    numbered.mapInArrow(run, FEATURES).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _read(words, buckets, values, meta) -> Features:
+    return Features(np.frombuffer(buckets, np.uint16), np.frombuffer(values, np.float32), words, np.frombuffer(meta, np.float32))
+
+
+def _stored(found: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
+    """Over stored features: the columns named, and arrays that `make` gives for a block of rows."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    n = len(columns)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                rows = _Rows([_read(*f) for f in zip(*(part.column(n + i).to_pylist() for i in range(4)))])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + [pa.array(v, pa.float64()) for v in make(rows)], names=names)
+
+    return found.select(*columns, "words", "buckets", "values", "meta").mapInArrow(run, schema)
 
 
 def _fit_words(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -155,16 +234,14 @@ class Model:
 
 
 class _Listed:
-    """Unlabelled (text, lang, source) in memory."""
+    """Features of unlabelled texts in memory."""
 
-    def __init__(self, pool: list[tuple]):
+    def __init__(self, pool: list[Features]):
         self.pool, self.size = pool, len(pool)
 
     def surest(self, model: Model, low: int, high: int, known: list[set]) -> list[tuple]:
-        """(giver, key, label, row): the documents each view is surest of, without those that the other one knows."""
-        if not self.pool:
-            return []
-        views, out = _raw_views(model)(*zip(*self.pool)), []
+        """(giver, key, label, features): the documents each view is surest of, without those that the other one knows."""
+        views, out = _Rows(self.pool).views(model), []
         for giver in (0, 1):
             z = views[giver]
             order = [int(k) for k in np.argsort(z, kind="stable") if int(k) not in known[1 - giver]]
@@ -174,49 +251,55 @@ class _Listed:
 
 
 class _Stored:
-    """All unlabelled rows of a table with columns text, lang, source; scored on the executors, nothing but the surest reaches the driver."""
+    """All unlabelled rows of a table with columns text, lang, source (or of their features); scored on the executors, nothing but the surest reaches the driver.
 
-    def __init__(self, rows: DataFrame, max_pool: int):
-        usable = rows.where(F.char_length("text") <= MAX_SAMPLE_CHARS)
-        self.rows = usable.withColumn("key", F.xxhash64("text"))
-        self.size = min(max_pool, self.rows.select("key").distinct().count())
+    labelled: table of ids that are not to be chosen.
+    """
+
+    def __init__(self, rows: DataFrame, max_pool: int, labelled: DataFrame | None = None):
+        self.found, self.labelled = rows if "buckets" in rows.columns else featurised(rows), labelled
+        self.size = min(max_pool, self._free(self.found.select("id", "key")).select("key").distinct().count())
+
+    def _free(self, rows: DataFrame) -> DataFrame:
+        return rows if self.labelled is None else rows.join(self.labelled, "id", "left_anti")
 
     def surest(self, model: Model, low: int, high: int, known: list[set]) -> list[tuple]:
-        def run(batches):
-            views = _raw_views(model)
-            for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    part = batch.slice(k, 500)
-                    z = views(*(part.column(i).to_pylist() for i in range(3)))[:2]
-                    yield pa.RecordBatch.from_arrays([part.column(3), part.column(1), part.column(2), *[pa.array(v, pa.float64()) for v in z]], names=["key", "lang", "source", "z0", "z1"])
-
-        scored = self.rows.select("text", "lang", "source", "key").mapInArrow(run, "key long, lang string, source string, z0 double, z1 double")
-        distinct = durable(scored.groupBy("key").agg(F.min(F.struct("lang", "source", "z0", "z1")).alias("s")).select("key", "s.*"))
+        scored = self._free(_stored(self.found, ["row", "id", "key", "lang", "source"], "row long, id long, key long, lang string, source string, z0 double, z1 double", lambda rows: rows.views(model)))
+        distinct = durable(scored.groupBy("key").agg(F.min(F.struct("lang", "source", "row", "z0", "z1")).alias("s")).select("key", "s.*"))
         picked = []
         for giver in (0, 1):
             z, free = F.col(f"z{giver}"), distinct.where(~F.col("key").isin(list(known[1 - giver]))) if known[1 - giver] else distinct
-            picked += [(giver, r["key"], 0.0) for r in free.where(z < -SURE).orderBy(z, "key").limit(low).collect()]
-            picked += [(giver, r["key"], 1.0) for r in free.where(z > SURE).orderBy(z.desc(), "key").limit(high).collect()]
-        if not picked:
-            return []
-        spark = self.rows.sparkSession
-        keys = spark.createDataFrame([(k,) for k in sorted({k for _, k, _ in picked})], "key long")
-        chosen = self.rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min(F.struct("lang", "source", "text")).alias("s")).collect()
-        found = {r["key"]: (r["s"]["text"], r["s"]["lang"], r["s"]["source"]) for r in chosen}
-        return [(giver, k, label, found[k]) for giver, k, label in picked]
+            picked += [(giver, r["key"], 0.0, r["row"]) for r in free.where(z < -SURE).orderBy(z, "key").limit(low).collect()]
+            picked += [(giver, r["key"], 1.0, r["row"]) for r in free.where(z > SURE).orderBy(z.desc(), "key").limit(high).collect()]
+        found = _fetched(self.found, {row for _, _, _, row in picked})
+        return [(giver, k, label, found[row]) for giver, k, label, row in picked]
+
+
+def _fetched(found: DataFrame, rows: set[int]) -> dict[int, Features]:
+    """Features of a few rows, by row number."""
+    if not rows:
+        return {}
+    few = found.sparkSession.createDataFrame([(r,) for r in sorted(rows)], "row long")
+    got = found.select("row", "words", "buckets", "values", "meta").join(F.broadcast(few), "row").collect()
+    return {r["row"]: _read(r["words"], r["buckets"], r["values"], r["meta"]) for r in got}
 
 
 def train(labelled: list[tuple], pool, rounds: int = ROUNDS) -> Model:
-    """labelled: (text, lang, source, label); pool: (text, lang, source) in a list, or _Stored."""
-    y = np.array([row[3] for row in labelled], float)
+    """Model from texts in memory. labelled: (text, lang, source, label); pool: (text, lang, source)."""
+    known = _Remembered(_packed)
+    return co_train([(features(*row[:3], known), row[3]) for row in labelled], _Listed([features(*row, known) for row in pool]), rounds)
+
+
+def co_train(labelled: list[tuple[Features, int]], pool, rounds: int = ROUNDS) -> Model:
+    """labelled: features and label of each text; pool: _Listed or _Stored."""
+    y = np.array([label for _, label in labelled], float)
     if not len(y) or y.min() == y.max():
         return Model(base=float(y.mean()) if len(y) else 1.0)
-    pool = pool if isinstance(pool, _Stored) else _Listed(list(pool))
     n = len(labelled)
     held = np.arange(n) % 4 == 3  # for calibration
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    texts, position = [row[:3] for row in labelled], {}
+    texts, position = [found for found, _ in labelled], {}
     labels = [list(np.where(held, -1.0, y)) for _ in range(2)]  # what each view trains on; -1: not known to it
     known: list[set] = [set(), set()]
     model = Model()
@@ -227,12 +310,12 @@ def train(labelled: list[tuple], pool, rounds: int = ROUNDS) -> Model:
         return np.where(t == 1, 0.5 * (good + bad) / good, 0.5 * (good + bad) / bad) ** 0.5
 
     def fit():
-        rows, meta = _Rows([t for t, _, _ in texts]), np.array([meta_features(*row) for row in texts])
+        rows = _Rows(texts)
         of_words, of_meta = (np.array(v) for v in labels)
         model.words, model.bias = _fit_words(rows, of_words >= 0, np.clip(of_words, 0, 1), balanced(of_words))
         use = of_meta >= 0
-        model.meta = _weighted(meta[use], of_meta[use], balanced(of_meta)[use])
-        return rows.dot(model.words) + model.bias, meta @ model.meta
+        model.meta = _weighted(rows.meta[use], of_meta[use], balanced(of_meta)[use])
+        return rows.views(model)
 
     scores = fit()
     quota = max(1, int(HANDED * pool.size))
@@ -253,7 +336,7 @@ def train(labelled: list[tuple], pool, rounds: int = ROUNDS) -> Model:
     of = held if held.any() else np.ones(n, bool)
     views = [s[:n][of] for s in scores]
     t = y[of]
-    model.calibration = tuple(tuple(_logistic(np.stack([np.ones(len(t)), v], axis=1), t)) for v in views)
+    model.calibration = tuple(tuple(logistic(np.stack([np.ones(len(t)), v], axis=1), t)) for v in views)
     model.prior = float(np.log(share / (1 - share)))
     return model
 
@@ -271,60 +354,53 @@ def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text(text_col), F.lit("")).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", lang_col="lang", source_col="source", max_labelled=MAX_LABELLED, max_pool=MAX_POOL, rounds=ROUNDS) -> Model:
     """Co-trained model from the bounded sample of labelled documents and all unlabelled ones."""
-    more = dict(id_col=id_col, text_col=text_col, columns=(lang_col, source_col))
-    sample = labelled_sample(docs, labels, label_col=label_col, max_labelled=max_labelled, **more)
-    text = lambda c: F.col(c).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text(text_col), F.lit("")).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
-    free = rows.join(labels.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_anti")
-    learned = [(r["_text"], r["_m0"], r["_m1"], r["_label"]) for r in sample]
-    return train(learned, _Stored(free, max_pool) if len({row[3] for row in learned}) > 1 else [], rounds)
+    return _fitted(featurised(_columns(docs, id_col, text_col, lang_col, source_col)), labels, id_col, label_col, max_labelled, max_pool, rounds)
+
+
+def _fitted(found: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", max_labelled=MAX_LABELLED, max_pool=MAX_POOL, rounds=ROUNDS) -> Model:
+    ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    given = found.select("row", "id", "key").join(ids.where("id is not null and label is not null"), "id")
+    first = given.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "label", "row")).alias("s")).select("s.*")
+    few = sorted(tuple(r) for r in first.orderBy("h", "id", "label").limit(max_labelled).collect())
+    if len({label for _, _, label, _ in few}) < 2:
+        return co_train([(None, label) for _, _, label, _ in few], None)
+    got = _fetched(found, {row for _, _, _, row in few})
+    return co_train([(got[row], label) for _, _, label, row in few], _Stored(found, max_pool, ids.select("id").distinct()), rounds)
 
 
 def _raw_views(model: Model):
     """Function from lists of texts, languages and sources to (word view, metadata view, numbers of words), not calibrated."""
-    w = model.words
-    known = _Remembered(lambda word: float(sum(w[f] for f in word_features(word))))
+    known = _Remembered(_packed)
 
     def run(texts, langs, sources):
-        words = [text.split() for text in texts]
-        a = np.array([sum([known[x] for x in ws]) / len(ws) if ws else 0.0 for ws in words]) + model.bias
-        b = np.array([meta_features(*row) @ model.meta for row in zip(texts, langs, sources, words)]).reshape(-1)
-        return a, b, np.array([len(ws) for ws in words], float)
+        rows = _Rows([features(*row, known) for row in zip(texts, langs, sources)])
+        return *rows.views(model), rows.words
 
     return run
 
 
-def _views(model: Model):
-    """Function from lists of texts, languages and sources to (word view, metadata view, joint probability)."""
-    raw = _raw_views(model)
-
-    def run(texts, langs, sources):
-        if model.words is None:
-            flat = np.full(len(texts), model.base)
-            return flat, flat, flat
-        a, b, n = raw(texts, langs, sources)
-        return model.combine(a, b, n / (n + SHORT))
-
-    return run
+def _joint(model: Model, words: np.ndarray, meta: np.ndarray, n: np.ndarray) -> tuple:
+    return model.combine(words, meta, n / (n + SHORT))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", **fit) -> DataFrame:
     """One row for each document: doc_id, word_score, meta_score, score (probability of being good), keep."""
-    model = fitted(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, **fit)
+    found = featurised(_columns(docs, id_col, text_col, lang_col, source_col))
+    model = _fitted(found, labels, id_col, **fit)
 
-    def run(batches):
-        views = _views(model)
-        for batch in batches:
-            for k in range(0, max(1, batch.num_rows), 500):
-                part = batch.slice(k, 500)
-                got = views([t or "" for t in part.column(1).to_pylist()], part.column(2).to_pylist(), part.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, pa.float64()) for v in got]], names=["doc_id", "word_score", "meta_score", "score"])
+    def make(rows):
+        if model.words is None:
+            return [np.full(rows.n, model.base)] * 3
+        return _joint(model, *rows.views(model), rows.words)
 
-    text = lambda c: F.col(c).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text(text_col).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
-    scored = rows.mapInArrow(run, "doc_id long, word_score double, meta_score double, score double")
+    scored = _stored(found, ["id"], "doc_id long, word_score double, meta_score double, score double", make)
     return scored.withColumn("keep", F.lit(model.words is None) | (F.col("score") >= threshold))
 
 
@@ -338,12 +414,12 @@ def survivors(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
     at = [names.index(c) for c in (text_col, lang_col, source_col)]
 
     def run(batches):
-        views = _views(model)
+        views = _raw_views(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 text, lang, source = (part.column(i).to_pylist() for i in at)
-                good = views([str(t) if t is not None else "" for t in text], [None if v is None else str(v) for v in lang], [None if v is None else str(v) for v in source])[2]
-                yield part.filter(pa.array(good >= threshold))
+                raw = views([str(t) if t is not None else "" for t in text], [None if v is None else str(v) for v in lang], [None if v is None else str(v) for v in source])
+                yield part.filter(pa.array(_joint(model, *raw)[2] >= threshold))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
