@@ -61,6 +61,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)],
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
