@@ -5,11 +5,12 @@ differ from those of clean ones beyond chance (log-likelihood ratio) are marked.
 lines by gradient ascent of the conditional likelihood, with forward-backward marginals; features are hashed words
 and their beginnings, so nothing of a document but its text counts. Each line of a document is one sequence; marginals of all
 lines of a block of documents are computed together, one position at a time. A document's score comes from its expected
-number of toxic tokens and their largest marginal, calibrated on the sample; offsets are those of tokens with a marginal
-of one half or more.
+number of toxic tokens and their largest marginal, calibrated on documents that the chain giving them was not trained on
+(each half of the sample by a chain of the other half); offsets are those of tokens with a marginal of one half or more.
 
-The fit takes at most `max_labelled` labelled documents (in the order of a hash of their ids, texts up to
-MAX_SAMPLE_CHARS) and `max_lines` of their lines; every document is scored in full.
+The fit takes at most `max_labelled` distinct labelled texts, in the order of a hash of their ids, and `max_lines` of their
+lines, in the order of a hash; of a text over SAMPLE_CHARS it learns WINDOWS evenly spaced windows, SAMPLE_CHARS in all.
+Every document is scored in full.
 
 Defined cases: null or empty texts get the score of a text without toxic tokens; null labels are not used; without both
 classes in the sample every score is the share of toxic rows (0 without any); rows that repeat an id are scored each
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from brookmill.llm.common import logistic, sigmoid
 
 DIM = 1 << 18
-MAX_LABELLED, MAX_LINES, MAX_SAMPLE_CHARS = 4_000, 6_000, 100_000
+MAX_LABELLED, MAX_LINES = 4_000, 6_000
+SAMPLE_CHARS, WINDOWS = 100_000, 10
 #: Tokens whose marginals are computed together, and remembered words.
 BLOCK, REMEMBERED = 800_000, 400_000
 HELD_OUT = 2
@@ -121,11 +123,16 @@ def _marked_words(texts: list[str], toxic: np.ndarray, least: float = 20.0) -> s
     return out
 
 
-def train(texts: list[str], toxic: list[int], max_lines: int = MAX_LINES, rounds: int = 50) -> Model:
-    """Chain and calibration from labelled documents, in the order given."""
-    y = np.asarray(toxic, np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return Model(base=float(y.mean()) if len(y) else 0.0)
+def _spread(lines: list, most: int) -> list:
+    """At most `most` lines, chosen by a hash of their words and place."""
+    if len(lines) <= most:
+        return lines
+    order = sorted(range(len(lines)), key=lambda k: (zlib.crc32(f"{k} {' '.join(lines[k][0])}".encode("utf-8", "surrogatepass")), k))
+    return [lines[k] for k in sorted(order[:most])]
+
+
+def fit_chain(texts: list[str], y: np.ndarray, max_lines: int, rounds: int) -> Model:
+    """Chain of labelled documents, without calibration."""
     marked = _marked_words(texts, y)
     with_mark, without = [], []
     for text, bad in zip(texts, y):
@@ -135,16 +142,16 @@ def train(texts: list[str], toxic: list[int], max_lines: int = MAX_LINES, rounds
                 part = tokens[k : k + 200]
                 tags = [bool(bad) and _EDGE.sub("", w).lower() in marked for w in part]
                 (with_mark if any(tags) else without).append((part, tags))
-    lines = with_mark[: max_lines // 2]
-    lines += without[:: max(1, len(without) // max(1, max_lines - len(lines)))][: max_lines - len(lines)]
-    lengths = np.array([len(t) for t, _ in lines])
+    lines = _spread(with_mark, max_lines // 2)
+    lines = lines + _spread(without, max_lines - len(lines))
+    lengths = np.array([len(t) for t, _ in lines], np.int64)
     words: dict[str, int] = {}
-    token = np.array([words.setdefault(w, len(words)) for t, _ in lines for w in t])
+    token = np.array([words.setdefault(w, len(words)) for t, _ in lines for w in t], np.int64)
     tag = np.array([v for _, tags in lines for v in tags], float)
-    table = np.array([features(w) for w in words])
+    table = np.array([features(w) for w in words], np.int64).reshape(len(words), -1)
     w, b, theta = np.zeros(DIM), 0.0, np.zeros(4)
     gw, gb, gt = np.full(DIM, 1e-6), 1e-6, np.full(4, 1e-6)
-    for k in range(rounds):
+    for k in range(rounds if len(words) else 0):
         score = w[table].sum(axis=1) + b
         e = np.exp(np.clip(score, -30, 30))[token]
         p, joint, at = marginals(e, lengths, tuple(np.exp(theta)), pairs=True)
@@ -156,8 +163,29 @@ def train(texts: list[str], toxic: list[int], max_lines: int = MAX_LINES, rounds
         ub, ut = off.sum() - 0.05 * b, (seen - joint) - 0.05 * theta
         gw, gb, gt = gw + up**2, gb + ub**2, gt + ut**2
         w, b, theta = w + 0.5 * up / np.sqrt(gw), b + 0.5 * ub / np.sqrt(gb), theta + 0.3 * ut / np.sqrt(gt)
-    model = Model(w.astype(np.float32), float(b), tuple(np.exp(theta)))
-    x = np.array([[1.0, *evidence] for evidence, _ in _evidence(texts, model, _Emissions(model))])
+    return Model(w.astype(np.float32), float(b), tuple(np.exp(theta)))
+
+
+def _points(texts: list[str], model: Model) -> np.ndarray:
+    return np.array([[1.0, *evidence] for evidence, _ in _evidence(texts, model, _Emissions(model))]).reshape(-1, 3)
+
+
+def train(texts: list[str], toxic: list[int], max_lines: int = MAX_LINES, rounds: int = 50) -> Model:
+    """Chain and calibration from labelled documents, in the order given."""
+    y = np.asarray(toxic, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        return Model(base=float(y.mean()) if len(y) else 0.0)
+    model = fit_chain(texts, y, max_lines, rounds)
+    half = np.zeros(len(y), np.int64)
+    for label in (0, 1):  # both halves have as many of either label
+        half[np.flatnonzero(y == label)[1::2]] = 1
+    if min(y.sum(), len(y) - y.sum()) < 2:
+        x = _points(texts, model)
+    else:
+        x = np.zeros((len(y), 3))
+        for h in (0, 1):
+            theirs, own = np.flatnonzero(half != h), np.flatnonzero(half == h)
+            x[own] = _points([texts[k] for k in own], fit_chain([texts[k] for k in theirs], y[theirs], max_lines // 2, rounds))
     model.scale = tuple(logistic(x, y.astype(float)))
     return model
 
@@ -202,15 +230,24 @@ def _offsets(text: str, p: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, text_col: str, max_labelled: int, usable=None, columns=()) -> list:
-    """At most max_labelled labelled rows (id, label, text, more), in the order of a hash of their ids."""
+def windows(text, chars: int = SAMPLE_CHARS, n: int = WINDOWS):
+    """A text, or evenly spaced windows of one that is longer than `chars`."""
+    size, length = chars // n, F.char_length(text)
+    parts = [F.substring(text, (F.floor((length - size) * k / (n - 1)) + 1).cast("int"), F.lit(size)) for k in range(n)]
+    return F.when(length <= chars, text).otherwise(F.concat_ws("\n", *parts))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str, text_col: str, max_labelled: int, usable=None) -> list:
+    """At most max_labelled distinct labelled texts (_id, _label, _text), in the order of a hash of their ids; _text is cut to windows."""
     ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isNotNull() & F.col("_id").isNotNull())
     if usable is not None:
         ids = ids.where(usable(F.col("_id")))
-    few = ids.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_labelled)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(columns)]).where(F.char_length("_text") <= MAX_SAMPLE_CHARS)
-    return sorted(rows.join(F.broadcast(few), "_id").collect(), key=lambda r: (r["_id"], r["_text"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
+    first = rows.select("_id", "_key").join(ids, "_id").groupBy("_key").agg(F.min(F.struct(F.xxhash64("_id").alias("h"), "_id", "_label")).alias("s"))
+    few = first.select("s.*", "_key").orderBy("h", "_id", "_label").limit(max_labelled)
+    got = rows.join(F.broadcast(few), ["_id", "_key"]).select("_id", "_label", "_key", windows(F.col("_text")).alias("_text")).dropDuplicates(["_id", "_key"])
+    return sorted(got.collect(), key=lambda r: (r["_id"], r["_text"]))
 
 
 def is_held_out(doc_id):
