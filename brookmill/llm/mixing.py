@@ -7,8 +7,8 @@ cost lies on the supply arcs, cheapest-first augmentation is optimal: one maximu
 
 The tokens a pattern gives are full uses of all its documents plus a rest, for which documents are chosen in the order
 of a seeded hash: the cut lies where the running sum reaches the rest, found by summing hash ranges, each narrower than
-the one before, so that no source is ever sorted in one task. What whole documents leave open is then filled, largest
-fitting document first. A document's uses thus follow from its own columns and one small row for its pattern.
+the one before, so that no source is ever sorted in one task. What whole documents leave open (less than one of them,
+as a rule) is then filled, largest fitting document first, until none fits. A document's uses thus follow from its own columns and one small row for its pattern.
 
 Defined cases: null text has size 0; a null source is a source of its own, sorted last; documents of size 0 or of no
 source are never taken; rows that repeat an id are hashed with size and text and so taken each for itself, identical
@@ -29,7 +29,6 @@ from brookmill.llm.common import bounded, durable, text_or_empty
 MAX_PATTERNS = 20_000
 #: Hash bits that one round of narrowing resolves, and rounds until the rest is sorted.
 STEP_BITS, STEPS = 10, 4
-FILLS = 3
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -180,15 +179,15 @@ def plan(docs: DataFrame, *, sources: Column, size: Column, targets=weighted_tar
     last = {p: c[0] for p, c in cut.items()}
     gap = {p: c[1] for p, c in cut.items()}
     extra: dict[str, list] = defaultdict(list)
-    for _ in range(FILLS):
-        open_ = [(p, last[p], gap[p], extra[p]) for p in cut if gap[p] > 0]
-        if not open_:
-            break
+    tried = set(cut)  # patterns in which a document may still fit
+    while open_ := [(p, last[p], gap[p], extra[p]) for p in sorted(tried) if gap[p] > 0]:
+        tried = set()
         want = spark.createDataFrame(open_, "_pattern string, low long, gap long, taken array<long>")
         fits = light.join(F.broadcast(want), "_pattern").where((F.col("_size") > 0) & (order >= F.col("low")) & (F.col("_size") <= F.col("gap")) & ~F.array_contains("taken", F.col("_h")))
         for r in bounded(fits.groupBy("_pattern").agg(F.max(F.struct("_size", "_h")).alias("best")), MAX_PATTERNS, "membership patterns"):
             extra[r["_pattern"]].append(r["best"]["_h"])
             gap[r["_pattern"]] -= r["best"]["_size"]
+            tried.add(r["_pattern"])
     rows = [(p, full[p], last.get(p, 0), extra[p], [(s, n) for s, n in routed[p].items() if n]) for p in capacity]
     table = spark.createDataFrame(rows, "_pattern string, full long, cut long, extra array<long>, routes array<struct<source:string,tokens:long>>")
     return marked, Plan(table, dict(source_size), target)
