@@ -1,4 +1,8 @@
-"""Connected components of a distributed link table, by alternating large-star and small-star steps."""
+"""Connected components of a distributed link table, by alternating large-star and small-star steps.
+
+Defined cases: links with a null end and links of a node to itself are ignored; repeated links count once; an empty table
+gives no rows. Steps repeat until nothing changes, which takes a number of rounds that is logarithmic in the longest path.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(kept).where("u != v").distinct()
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every linked node that isn't itself the smallest of its component.
 
     links: columns u, v of one orderable type, in any order, with repeats. Every step is a join and a minimum that is
@@ -35,10 +39,9 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = durable(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         now = durable(_small_star(_large_star(now)))
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(state)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,12 +1,12 @@
 """The stages one after another against plain versions of each, on a small corpus."""
 
 import os
+import re
 
-import numpy as np
 import pytest
 from conftest import prose
 from test_classifiers import junk
-from test_dedup import plain_components, plain_fingerprint
+from test_near import plain_classes
 from test_tokens import BYTE, check_layout, plain
 
 import corpus_pipeline
@@ -44,8 +44,9 @@ def test_stages_take_effect(spark, folder):
         least[norm] = min(least.get(norm, r["doc_id"]), r["doc_id"])
     assert sorted(r["doc_id"] for r in after) == sorted(least.values())
     before, after = seen["near_dedup"]
-    ids, fps = [r["doc_id"] for r in before], [plain_fingerprint(r["text"], 5) for r in before]
-    assert sorted(r["doc_id"] for r in after) == sorted(set(plain_components(ids, fps).values()))
+    ids, (label, links) = [r["doc_id"] for r in before], plain_classes([r["text"] for r in before])
+    least = {c: min(i for i, d in zip(ids, label) if d == c) for c in set(label)}
+    assert links and sorted(r["doc_id"] for r in after) == sorted(least.values())
     before, after = seen["mix"]
     words = lambda rows: sum(len((r["text"] or "").split()) for r in rows)
     assert abs(words(after) - 1.5 * words(before)) < 0.03 * words(before)
@@ -57,8 +58,15 @@ def test_stages_take_effect(spark, folder):
 
 
 def test_run_equals_the_stages(spark, folder):
-    rows = corpus_pipeline.run(spark, folder).collect()
-    assert rows and {r["doc_id"] for r in rows} <= set(np.arange(3000).tolist())
+    def pieces(rows):
+        return sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows)
+
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, folder).write.mode("overwrite").parquet(os.path.join(folder, f"again-{name}"))
+        now = spark.read.parquet(os.path.join(folder, f"again-{name}"))
+    whole = lambda rows: sorted((d, sum(n for e, _, n, _, _ in rows if e == d), t) for d, t in {(e, t) for e, _, _, _, t in rows})
+    assert whole(pieces(corpus_pipeline.run(spark, folder).collect())) == whole(pieces(now.collect()))
 
 
 def test_empty_corpus(spark, tmp_path):
@@ -67,5 +75,7 @@ def test_empty_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_mixing_counts_words_as_the_plain_version_does():
-    assert mixing.weighted_targets([("a", 10), ("b", 10)])["a"] == 20.0
+def test_mixing_counts_words_as_the_plain_version_does(spark):
+    texts = ["a b\tc", "", None, " x ", "é\u00a0ü z", "one\ntwo\x0bthree\x0cfour\rfive"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.word_count(mixing.text_or_empty()).alias("n")).collect()
+    assert [r["n"] for r in got] == [len(re.findall("[^\\x20\\x09-\\x0D]+", t or "")) for t in texts]
