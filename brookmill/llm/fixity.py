@@ -36,13 +36,22 @@ def warc_record(url: Column, payload: Column) -> Column:
 
 def archived(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Pages as WARC records: page_id, file, offset, length, digest (of the record's bytes). Files take ranges of ids."""
+    return _placed(_hashed(pages, id_col, url_col, body_col, per_file)).select("page_id", "file", "offset", "length", "digest")
+
+
+def _hashed(pages: DataFrame, id_col: str, url_col: str, body_col: str, per_file: int) -> DataFrame:
+    """page_id, file, url, record, length, digest."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    record = warc_record(text(url_col), text(body_col))
     page_id = F.col(id_col).cast("long")
-    rows = pages.select(page_id.alias("page_id"), F.coalesce(F.floor(page_id / per_file), F.lit(-1)).cast("long").alias("file"), record.alias("record"))
-    hashed = rows.select("page_id", "file", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    file = F.coalesce(F.floor(page_id / per_file), F.lit(-1)).cast("long")
+    rows = pages.select(page_id.alias("page_id"), file.alias("file"), text(url_col).alias("url"), warc_record(text(url_col), text(body_col)).alias("record"))
+    return rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+
+
+def _placed(hashed: DataFrame) -> DataFrame:
+    """With the offset of each record: the lengths of those before it in its file."""
     before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("page_id", "file", "offset", "length", "digest")
+    return hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
 def _above(level: DataFrame, place: Column) -> DataFrame:
@@ -101,11 +110,12 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def damaged_copy(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """A replica as a faulty store might return it, for drills: of about 32 records (by the digest of the address) one has a byte changed and one is lost."""
-    mark = F.substring(F.sha2(F.coalesce(F.col(url_col), F.lit("")), 256), 1, 2)
-    whole = archived(pages.select(id_col, url_col, body_col), id_col=id_col, url_col=url_col, body_col=body_col, per_file=per_file)
-    changed, lost = mark.between("00", "07"), mark.between("08", "0f")
-    flaws = pages.select(F.col(id_col).cast("long").alias("page_id"), F.when(changed, "changed").when(lost, "lost").alias("flaw"), F.sha2(warc_record(F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.coalesce(F.col(body_col).cast("string"), F.lit(""))), 256).alias("digest")).where("flaw is not null").distinct()
-    bad = F.sha2(F.concat(F.col("digest"), F.lit("!")), 256)
-    rows = whole.join(flaws, ["page_id", "digest"], "left").where("flaw is null or flaw != 'lost'")
-    return rows.select("page_id", "file", "offset", "length", F.when(F.col("flaw") == "changed", bad).otherwise(F.col("digest")).alias("digest"))
+    """A replica as a faulty store might return it, for drills: of about 32 records (by the digest of the address) one has a byte changed and one is lost.
+
+    The byte after the record's version line is changed in the record itself, which is then hashed like any other; offsets
+    and lengths are those of the undamaged file.
+    """
+    mark = F.substring(F.sha2("url", 256), 1, 2)
+    flipped = F.sha2(F.overlay(F.col("record"), F.lit("w"), F.lit(11)), 256)
+    flaws = _hashed(pages, id_col, url_col, body_col, per_file).withColumns({"mark": mark, "found": F.when(mark.between("00", "07"), flipped).otherwise(F.col("digest"))})
+    return _placed(flaws).where(~F.col("mark").between("08", "0f")).select("page_id", "file", "offset", "length", F.col("found").alias("digest"))
