@@ -39,29 +39,18 @@ _BLANK = _ALPHABET[32]
 
 
 class _Known:
-    """Ids by piece in two generations: when the young one reaches half of the bytes allowed it becomes the old one, from which pieces that occur again come back."""
+    """Ids by piece, begun anew when the table has reached the bytes allowed."""
 
     def __init__(self, most_bytes: int):
-        self.most, self.young, self.old, self.bytes = most_bytes // 2, {}, {}, 0
+        self.most, self.ids, self.bytes = most_bytes, {}, 0
 
     def put(self, piece: str, ids: bytes) -> None:
-        self.young[piece] = ids
+        self.ids[piece] = ids
         self.bytes += ENTRY_BYTES + len(piece) + len(ids)
 
-    def turn(self) -> None:
+    def bound(self) -> None:
         if self.bytes > self.most:
-            self.old, self.young, self.bytes = self.young, {}, 0
-
-    def missing(self, pieces: list[str]) -> list[str]:
-        """Pieces of neither generation; those of the old one move to the young one."""
-        out = []
-        for piece in set(pieces).difference(self.young):
-            ids = self.old.get(piece)
-            if ids is None:
-                out.append(piece)
-            else:
-                self.put(piece, ids)
-        return out
+            self.ids, self.bytes = {}, 0
 
 
 class Encoder:
@@ -95,15 +84,14 @@ class Encoder:
         return array("I", [t.id for t in tokens]).tobytes()
 
     def _tail(self, marks: str) -> bytes:
-        if marks not in self.tails.young:
-            self.tails.turn()
-            for piece in self.tails.missing([marks]):
-                self.tails.put(piece, self._whole([piece])[0])
-        return self.tails.young[marks]
+        if marks not in self.tails.ids:
+            self.tails.bound()
+            self.tails.put(marks, self._whole([marks])[0])
+        return self.tails.ids[marks]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Ids of unseen pieces. Letters and the marks after them are two units, which never merge; a line end before a piece is a unit too."""
-        mixed, young, size = [], self.known.young, 0
+        mixed, known, size = [], self.known.ids, 0
         blank = " " if self.leading_blank else ""
         for piece in pieces:
             before, bare = b"", blank + piece
@@ -114,12 +102,16 @@ class Encoder:
             if end == len(bare) and end:
                 ids = before + self._letters(bare)
             elif end and _MARKS.fullmatch(bare, end):
-                ids = young.get(piece[: end - len(bare)])  # of the letters alone
-                ids = (before + self._letters(bare[:end]) if ids is None else ids) + self._tail(bare[end:])
+                stem = piece[: end - len(bare)]
+                ids = known.get(stem)
+                if ids is None:
+                    ids = known[stem] = before + self._letters(bare[:end])
+                    size += ENTRY_BYTES + len(stem) + len(ids)
+                ids += self._tail(bare[end:])
             else:
                 mixed.append((piece, before, bare))
                 continue
-            young[piece] = ids
+            known[piece] = ids
             size += ENTRY_BYTES + len(piece) + len(ids)
         self.known.bytes += size
         if mixed:
@@ -128,14 +120,14 @@ class Encoder:
 
     def _look_up(self, pieces: list[str]) -> bytes:
         known = self.known
-        known.turn()
-        unseen = known.missing(pieces)
+        known.bound()
+        unseen = set(pieces).difference(known.ids)
         if unseen:
             self._learn(unseen)
-        out = b"".join(map(known.young.__getitem__, pieces))
+        out = b"".join(map(known.ids.__getitem__, pieces))
         for piece in unseen:
             if len(piece) > LONG:
-                known.bytes -= ENTRY_BYTES + len(piece) + len(known.young.pop(piece))
+                known.bytes -= ENTRY_BYTES + len(piece) + len(known.ids.pop(piece))
         return out
 
     def encode(self, text: str) -> bytes:
