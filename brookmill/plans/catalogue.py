@@ -98,9 +98,7 @@ def dq_rules(spark, d):
 
 @query(f"select len(errors) = 0 as is_valid, count(*) as n from {JUDGED_SQL} group by 1")
 def dq_route_counts(spark, d):
-    valid, invalid = quality.route(_judged(spark, d))
-    count = lambda df, ok: df.agg(F.count("*").alias("n")).select(F.lit(ok).alias("is_valid"), "n").where("n > 0")
-    return count(valid, True).unionByName(count(invalid, False))
+    return _judged(spark, d).groupBy("is_valid").agg(F.count("*").alias("n"))
 
 
 @query(f"select event_type as source, errors[1] as primary_reason, count(*) as n from {JUDGED_SQL} where len(errors) > 0 group by 1, 2 order by 1, 3 desc")

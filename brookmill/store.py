@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,32 @@ class Folder:
     def delete(self, name: str, recursive: bool = False) -> None:
         self.fs.delete(self.path(name), recursive)
 
+    def publish(self, df: DataFrame, name: str) -> bool:
+        """df as Parquet files in folder `name`, all at once and only once: False, and nothing written, where it exists.
+
+        Files are written beside it, under a hidden name, and the folder is renamed when whole, so a reader sees no part of
+        it, and a repeated or killed writer leaves the names of published files as they are.
+        """
+        if self.fs.exists(self.path(name)):
+            return False
+        hidden = f".{name}.{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{hidden}")
+        if self.fs.exists(self.path(name)) or not self.fs.rename(self.path(hidden), self.path(name)):
+            self.delete(hidden, recursive=True)
+            if not self.fs.exists(self.path(name)):
+                raise OSError(f"{self.root}/{name} can't be published")
+            return False
+        return True
+
+
+def occurring(df: DataFrame, column: str, most: int = 10_000) -> Column:
+    """Condition on `column` that holds for every value of it in df: a list of them, or beyond `most` their range."""
+    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(values) <= most:
+        return F.col(column).isin(values)
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return F.col(column).between(low, high)
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -225,9 +251,7 @@ class TableStore:
                 return None
             have = self._load(now, now.files)
             if prune is not None:
-                values = [r[0] for r in df.select(prune).distinct().limit(10_001).collect()]
-                if len(values) <= 10_000:
-                    have = have.where(F.col(prune).isin(values))
+                have = have.where(occurring(df, prune))
             adds = self._write(df.join(have.select(*keys), keys, "left_anti"), now)
             return self._commit(now, "insert", adds, [], txn=txn) if adds or txn else None
 

@@ -15,12 +15,12 @@ from brookmill.config import Settings
 from brookmill.operators.dedup import first_arrivals, within_watermark
 from brookmill.operators.frames import decode_frames, parse_clicks
 from brookmill.operators.joins import checkout_conversion
-from brookmill.operators.latest import latest_orders, rank_of
+from brookmill.operators.latest import insert_only, latest_orders, rank_of
 from brookmill.operators.quality import apply_rules, click_rules, dead_letters, order_rules, route
 from brookmill.operators.sla import sla_alerts
 from brookmill.operators.windows import user_sessions, zone_metrics
 from brookmill.sources.registry import SchemaResolver
-from brookmill.store import TableStore
+from brookmill.store import Folder, TableStore, occurring
 
 #: How columns of orders_current move in a merge.
 ORDERS_MERGE = dict(
@@ -111,7 +111,7 @@ def silver_clicks(valid: DataFrame) -> DataFrame:
 def order_batch(batch: DataFrame, batch_id: int, *, tables: dict[str, TableStore], resolver: SchemaResolver, skew_seconds: int, application: str = "silver_orders", changes: str | None = None) -> dict:
     """One micro-batch of order messages: dead letters, new events, current state, in this order. Each commit takes effect once however often the batch is repeated.
 
-    changes: folder that gets each batch's new events as a feed for streams (overwritten by batch number).
+    changes: folder that gets each batch's new events as a feed for streams, published once for each batch number.
     """
     judged = judged_orders(batch, resolver, skew_seconds).persist()
     try:
@@ -120,11 +120,9 @@ def order_batch(batch: DataFrame, batch_id: int, *, tables: dict[str, TableStore
         events = silver_orders(valid).persist()
         try:
             if changes:
-                have = tables["order_events"].read().where(F.col("kafka_offset").isNotNull())
-                fresh = events.join(have.select("event_date", "event_id"), ["event_date", "event_id"], "left_anti")
-                folder = TableStore(batch.sparkSession, changes).folder
-                if not folder.fs.exists(folder.path(f"batch={batch_id}/_SUCCESS")):
-                    fresh.select(*schemas.ORDER_EVENTS.names).write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
+                have = tables["order_events"].read().where(occurring(events, "event_date"))
+                fresh = insert_only(have, events, ["event_date", "event_id"])
+                Folder(batch.sparkSession, changes).publish(fresh.select(*schemas.ORDER_EVENTS.names), f"batch={batch_id}")
             tables["order_events"].merge_insert_only(events, ["event_date", "event_id"], prune="event_date", txn=(application, batch_id))
             tables["orders_current"].upsert(latest_orders(events), "order_id", txn=(application, batch_id), **ORDERS_MERGE)
         finally:
@@ -136,6 +134,16 @@ def order_batch(batch: DataFrame, batch_id: int, *, tables: dict[str, TableStore
     return {"valid": by.get(True, 0), "invalid": by.get(False, 0)}
 
 
+def click_batch(batch: DataFrame, batch_id: int, *, table: TableStore, changes: str, application: str = "silver_clicks") -> None:
+    """One micro-batch of clicks to the table and to the feed, each of which takes it once however often it is repeated."""
+    batch.persist()
+    try:
+        table.append(batch, txn=(application, batch_id))
+        Folder(batch.sparkSession, changes).publish(batch, f"batch={batch_id}")
+    finally:
+        batch.unpersist()
+
+
 def start_silver(spark: SparkSession, s: Settings, resolver: SchemaResolver, once: bool = False) -> list[StreamingQuery]:
     """Orders (merged batch by batch), clicks (de-duplicated within a watermark) and dead letters of clicks."""
     tables, skew = ensure_silver(spark, s), s.max_future_skew_seconds
@@ -147,13 +155,7 @@ def start_silver(spark: SparkSession, s: Settings, resolver: SchemaResolver, onc
         return lambda batch, batch_id: tables[table].append(batch, txn=(application, batch_id)) and None
 
     def clicks(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            tables["clickstream"].append(batch, txn=("silver_clicks", batch_id))
-            folder = f"{s.paths.table('clickstream')}_changes/batch={batch_id}"
-            batch.write.mode("overwrite").parquet(folder)
-        finally:
-            batch.unpersist()
+        click_batch(batch, batch_id, table=tables["clickstream"], changes=f"{s.paths.table('clickstream')}_changes")
 
     judged = judged_clicks(bronze_stream(spark, s, s.click_topic), skew)
     valid, invalid = route(judged)

@@ -92,6 +92,41 @@ def test_order_batches_are_idempotent_and_move_forward(spark, tmp_path):
     assert row["placed_ts"] is not None and row["last_event_ts"] > row["placed_ts"]
 
 
+def _read_feed(spark, feed, schema, tmp_path, name):
+    """Adds what a stream over the feed hasn't seen yet."""
+    source = spark.readStream.schema(schema).parquet(f"{feed}/batch=*")
+    source.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp-{name}").option("path", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
+    return spark.read.schema(schema).parquet(f"{tmp_path}/{name}")
+
+
+def test_feeds_carry_each_event_once(spark, tmp_path, monkeypatch):
+    s = Settings(lake_root=str(tmp_path / "lake"))
+    tables = flows.ensure_silver(spark, s)
+    feed, orders = f"{tmp_path}/clicks_changes", f"{tmp_path}/orders_changes"
+    row = {f.name: None for f in schemas.CLICKS.fields} | {"event_id": "E1", "event_ts": BASE, "event_date": BASE.date()}
+    batch = spark.createDataFrame([tuple(row[n] for n in schemas.CLICKS.names)], schemas.CLICKS)
+    values = [order("E1", "O1", "PLACED"), order("E2", "O1", "ACCEPTED", 30)]
+    run = lambda: flows.order_batch(bronze(spark, values), 0, tables=tables, resolver=RESOLVER, skew_seconds=300, changes=orders)
+    with monkeypatch.context() as m:  # ended when files are written, but not published
+        m.setattr(flows.Folder, "publish", lambda self, df, name: df.write.parquet(f"{self.root}/.{name}.lost") or (_ for _ in ()).throw(RuntimeError("lost")))
+        for again in (lambda: flows.click_batch(batch, 0, table=tables["clickstream"], changes=feed), run):
+            with pytest.raises(RuntimeError):
+                again()
+    for _ in range(2):
+        flows.click_batch(batch, 0, table=tables["clickstream"], changes=feed)
+        run()
+        assert _read_feed(spark, feed, schemas.CLICKS, tmp_path, "seen_clicks").count() == 1 == tables["clickstream"].read().count()
+        assert _read_feed(spark, orders, schemas.ORDER_EVENTS, tmp_path, "seen_orders").count() == 2 == tables["order_events"].read().count()
+
+
+def test_unknown_schema_ids_are_dead_letters_however_many(spark, tmp_path):
+    s = Settings(lake_root=str(tmp_path))
+    tables = flows.ensure_silver(spark, s)
+    values = [b"\x00" + (1_000 + k).to_bytes(4, "big") + b"body" for k in range(20_000)] + [order("E1", "O1", "PLACED")]
+    got = flows.order_batch(bronze(spark, values), 0, tables=tables, resolver=RESOLVER, skew_seconds=300)
+    assert got == {"valid": 1, "invalid": 20_000} and tables["dead_letter"].read().count() == 20_000
+
+
 def test_crash_between_commits(spark, tmp_path, monkeypatch):
     s = Settings(lake_root=str(tmp_path))
     tables = flows.ensure_silver(spark, s)
