@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 def _table(columns: str) -> T.StructType:
     """Columns as "name type" or "name type not null", separated by ", "; needs no session, unlike Spark's own parser."""
-    simple = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "date": T.DateType(), "binary": T.BinaryType()}
-    kinds = simple | {"decimal(10,2)": T.DecimalType(10, 2), "array<string>": T.ArrayType(T.StringType())}
+    simple = {"string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "date": T.DateType(), "binary": T.BinaryType()}
+    kinds = simple | {"decimal(10,2)": T.DecimalType(10, 2), "decimal(20,2)": T.DecimalType(20, 2), "array<string>": T.ArrayType(T.StringType())}
     fields = [c.split(" ", 2) for c in columns.split(", ")]
     return T.StructType([T.StructField(f[0], kinds[f[1]], len(f) < 3) for f in fields])
 
@@ -60,3 +60,21 @@ ALERTS = (
     "order_id string, zone string, restaurant_id string, alert_type string, last_status string, "
     "placed_ts timestamp, detected_at timestamp, open_seconds double"
 )
+# Columns of the gold tables.
+ZONE_METRICS = _table(
+    "window_start timestamp, window_end timestamp, zone string, orders_placed long, gmv decimal(20,2), orders_delivered long, "
+    "orders_cancelled long, unique_customers long, events long, emitted_at timestamp"
+)
+CHECKOUT_CONVERSION = _table(
+    "session_id string, customer_id string, zone string, restaurant_id string, device string, checkout_ts timestamp, "
+    "order_id string, amount decimal(10,2), order_ts timestamp, converted boolean, seconds_to_order double, emitted_at timestamp"
+)
+USER_SESSIONS = _table(
+    "session_start timestamp, session_end timestamp, customer_id string, zone string, device string, events long, "
+    "active_seconds double, added_to_cart boolean, reached_checkout boolean, restaurants_viewed long, emitted_at timestamp"
+)
+
+
+def shaped(df, contract: T.StructType, **computed):
+    """df in the shape of a contract: its columns in order and type, from `computed` where that has them."""
+    return df.select(*[(computed[f.name] if f.name in computed else df[f.name]).cast(f.dataType).alias(f.name) for f in contract.fields])
