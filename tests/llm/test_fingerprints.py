@@ -63,3 +63,20 @@ def test_successors_over_many_ranges(spark):
         assert got == {a: str(b) for a, b in zip(order, order[1:] + order[:1])}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_successors_where_one_id_holds_a_third(spark):
+    rows = [(k, f"t{k}") for k in range(400)] + [(57, f"again {j}") for j in range(200)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(4)
+    cuts = fp._cuts(df.select(F.col("k").alias("_key"), F.xxhash64("t").alias("_tie")), 20)
+    assert sum(k == 57 for k, _ in cuts) >= 5 and cuts[0] == (0, fp.LEAST)
+    order = [r["t"] for r in df.orderBy("k", F.xxhash64("t")).collect()]
+    got = {r["t"]: r["n"] for r in fp.with_next(df, "k", "t", {"t": "n"}).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_a_paragraph_repeated_past_sixteen_bits(spark):
+    rows = [r["lanes"] for r in lanes(spark, "\n" * 65_536, "\n" * 49_152).collect()]
+    df = spark.createDataFrame([tuple(rows)], "a array<long>, b array<long>")
+    near = df.select(fp.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert abs(near - (1 - 16_384**2 / (65_536**2 + 49_152**2))) < 0.01
