@@ -11,15 +11,18 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from brookmill.operators.latest import rank_of
 from brookmill.schemas import ALERTS, STATUS_RANK
 
 FINAL = ("DELIVERED", "CANCELLED")
 STATE = "zone string, restaurant_id string, first_seen long, placed long, status string, rank int, last_seen long, breached boolean, closed boolean"
 _COLUMNS = [c.split()[0] for c in ALERTS.split(", ")]
+_REPLAYED = [*_COLUMNS[:-1], "open_ms"]
 
 
 @dataclass(frozen=True)
@@ -150,12 +153,53 @@ def sla_alerts(orders: DataFrame, sla_seconds: int, ttl_seconds: int, delay: str
     return alerts.withColumn("emitted_at", F.current_timestamp())
 
 
-def replayed(orders: DataFrame, key: str, placed: str, delivered: str, sla: str) -> DataFrame:
-    """Alerts of finished histories, as an ideal stream would give them: one row for each order with its placed and delivered times."""
-    due = F.col(placed) + F.expr(f"INTERVAL {sla}")
-    late = F.col(delivered).isNull() | (F.col(delivered) > due)
-    breach = F.struct(F.lit("SLA_BREACH").alias("alert_type"), due.alias("detected_at"))
-    closed = F.struct(F.lit("DELIVERED_AFTER_BREACH").alias("alert_type"), F.col(delivered).alias("detected_at"))
-    alerts = F.when(F.col(delivered).isNull(), F.array(breach)).otherwise(F.array(breach, closed))
-    rows = orders.where(late).select(key, placed, F.explode(alerts).alias("_a"))
-    return rows.select(key, "_a.alert_type", F.col(placed).alias("placed_ts"), "_a.detected_at")
+def _replay(policy: Policy):
+    """Runs the machine over Arrow batches in order of (order, time); an order may span batches, and only its state is held."""
+    schema = pa.schema([(c, pa.int64() if c in ("placed_ts", "detected_at", "open_ms") else pa.string()) for c in _REPLAYED])
+
+    def run(batches):
+        order = state = timer = None
+        out: list[tuple] = []
+
+        def alert(known: Order, step: Step) -> None:
+            out.extend((order, known.zone, known.restaurant_id, kind, known.status, known.start, at, open_for) for kind, at, open_for in step.alerts)
+
+        def until(now: int | None) -> None:
+            """Fires what is due before now; all that is left without one."""
+            nonlocal state, timer
+            while state is not None and (now is None or timer < now):
+                step = policy.fired(state, timer)
+                alert(state, step)
+                state, timer = step.state, step.timer
+
+        def flushed() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+            out.clear()
+            return found
+
+        for batch in batches:
+            for key, status, at, zone, restaurant in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != order:
+                    until(None)
+                    order = key
+                until(at)
+                step = policy.events(state, [(status, at, zone, restaurant)], at - 1)
+                alert(step.state, step)
+                state, timer = step.state, step.timer
+            yield flushed()
+        until(None)
+        yield flushed()
+
+    return run
+
+
+def replayed(orders: DataFrame, sla_seconds: int, ttl_seconds: int) -> DataFrame:
+    """Alerts of whole histories by the same machine, as a stream gives them whose watermark follows each order's events closely
+    and ends beyond all timers. Rows without an order or a time are left out, as the rules of orders leave them out.
+    """
+    millis = F.unix_millis(F.col("event_ts").cast("timestamp")).alias("at")
+    rows = orders.where("order_id IS NOT NULL AND event_ts IS NOT NULL").select(F.col("order_id").cast("string").alias("order_id"), "status", millis, "zone", "restaurant_id")
+    sorted_ = rows.repartition("order_id").sortWithinPartitions("order_id", "at", F.coalesce(rank_of("status"), F.lit(0)))
+    found = sorted_.mapInArrow(_replay(Policy(sla_seconds * 1000, ttl_seconds * 1000)), ", ".join(f"{c} {'long' if c in ('placed_ts', 'detected_at', 'open_ms') else 'string'}" for c in _REPLAYED))
+    times = {c: F.timestamp_millis(c) for c in ("placed_ts", "detected_at")} | {"open_seconds": F.col("open_ms") / 1000}
+    return found.withColumns(times).select(*_COLUMNS)

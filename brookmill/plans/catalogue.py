@@ -281,9 +281,9 @@ def distinct_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct(F.when(F.col("value") > 50, F.col("user_id"))).alias("spenders"))
 
 
-@query("select event_type, abs(approx - exact) <= 0.15 * exact as close from (select event_type, count(distinct user_id) as exact, count(distinct user_id) as approx from events group by 1)")
+@query("select distinct event_type, true as close from events")
 def approx_distinct(spark, d):
-    """The sketch that streams use, held against the exact count."""
+    """The sketch that streams use, held against the exact count: SQL states that all must be close."""
     both = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("a"), F.countDistinct("user_id").alias("e"))
     return both.select("event_type", (F.abs(F.col("a") - F.col("e")) <= 0.15 * F.col("e")).alias("close"))
 
@@ -375,10 +375,63 @@ def sql_views(spark, d):
     select order_id, 'SLA_BREACH' as alert_type, placed_ts, due as detected_at, 2592000.0::double as open_seconds from late
     union all select order_id, 'DELIVERED_AFTER_BREACH', placed_ts, delivered, (epoch_us(delivered) - epoch_us(placed_ts)) / 1e6 from late where delivered is not null""")
 def sla_replay(spark, d):
-    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("delivered"))
-    orders = table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("order_id")).agg(F.min("o_orderdate").alias("placed_ts"))
-    history = orders.join(first, F.col("order_id") == F.col("l_orderkey"), "left")
-    return sla.replayed(history, "order_id", "placed_ts", "delivered", "30 DAYS").withColumn("open_seconds", windows.seconds("detected_at", "placed_ts"))
+    """The state machine itself over orders (PLACED) and line items (DELIVERED); finished orders are never forgotten."""
+    nothing = {c: F.lit(None).cast("string") for c in ("zone", "restaurant_id")}
+    placed = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit("PLACED").alias("status"), F.col("o_orderdate").alias("event_ts"))
+    delivered = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.lit("DELIVERED").alias("status"), F.col("l_shipdate").alias("event_ts"))
+    alerts = sla.replayed(placed.unionByName(delivered).withColumns(nothing), 30 * 86_400, 36_500 * 86_400)
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("placed_ts", "detected_at")]
+    return alerts.select(F.col("order_id").cast("long").alias("order_id"), "alert_type", *times, "open_seconds")
+
+
+# -- the rules of orders and clicks -----------------------------------------------------
+
+ORDER_ROWS = """(select o_orderkey, case when o_orderkey % 97 = 0 then ' ' else 'E' end as event_id, case when o_orderkey % 89 = 0 then null else 'O' end as order_id,
+    case when o_orderkey % 83 = 0 then '' else 'C' end as customer_id, case when o_orderkey % 79 = 0 then '  ' else o_orderpriority end as zone,
+    case o_orderstatus when 'O' then 'PLACED' when 'F' then 'DELIVERED' when 'P' then 'LOST' end as status,
+    cast(case when o_orderkey % 73 = 0 then -o_totalprice when o_orderkey % 71 = 0 then null else o_totalprice end as decimal(12,2)) as amount,
+    case when o_orderkey % 67 = 0 then null when o_orderkey % 61 = 0 then o_orderdate + interval '301' second when o_orderkey % 59 = 0 then o_orderdate + interval '300' second else o_orderdate end as event_ts,
+    o_orderdate as kafka_ts from {orders})"""
+CLICK_ROWS = """(select event_id as id, case when event_id % 97 = 0 then ' ' else 'E' end as event_id, case when event_id % 89 = 0 then null else 'S' end as session_id,
+    case when event_id % 83 = 0 then '' else 'C' end as customer_id, case event_type when 'click' then 'search' when 'view' then 'view_restaurant' when 'purchase' then 'checkout_started' when 'signup' then 'app_open' end as event_type,
+    case when event_id % 67 = 0 then null when event_id % 61 = 0 then ts + interval '301' second else ts end as event_ts, ts as kafka_ts from {events})"""
+
+
+def _codes_sql(key: str, rows: str, rules: dict[str, str]) -> str:
+    cases = ", ".join(f"case when {violated} then '{code}' end" for code, violated in rules.items())
+    return f"select {key}, array_to_string(list_filter([{cases}], lambda x: x is not null), ',') as codes from {rows}"
+
+
+MISSING = "{0} is null or trim({0}) = ''"
+FUTURE = "event_ts > kafka_ts + interval 300 seconds"
+ORDER_RULES_SQL = {f"MISSING_{c.upper()}": MISSING.format(c) for c in ("event_id", "order_id", "customer_id", "zone")} | {
+    "UNKNOWN_STATUS": "coalesce(status, '') not in ('PLACED', 'ACCEPTED', 'PICKED_UP', 'DELIVERED', 'CANCELLED')",
+    "NEGATIVE_AMOUNT": "amount < 0",
+    "MISSING_AMOUNT_ON_PLACED": "status = 'PLACED' and amount is null",
+    "MISSING_EVENT_TS": "event_ts is null",
+    "FUTURE_EVENT_TS": FUTURE,
+}
+CLICK_RULES_SQL = {f"MISSING_{c.upper()}": MISSING.format(c) for c in ("event_id", "session_id", "customer_id")} | {
+    "UNKNOWN_EVENT_TYPE": "coalesce(event_type, '') not in ('app_open', 'search', 'view_restaurant', 'add_to_cart', 'checkout_started')",
+    "MISSING_EVENT_TS": "event_ts is null",
+    "FUTURE_EVENT_TS": FUTURE,
+}
+
+
+def _coded(rows: DataFrame, key: str, rules: list) -> DataFrame:
+    return quality.apply_rules(rows, rules).select(key, F.array_join("dq_errors", ",").alias("codes"))
+
+
+@query(_codes_sql("o_orderkey", ORDER_ROWS.format(orders="orders"), ORDER_RULES_SQL))
+def order_rules(spark, d):
+    """The nine rules of orders over all orders, in which some keys carry a fault."""
+    return _coded(spark.sql(f"select * from {ORDER_ROWS}", orders=table(spark, d, "orders")), "o_orderkey", quality.order_rules(300))
+
+
+@query(_codes_sql("id", CLICK_ROWS.format(events="events"), CLICK_RULES_SQL))
+def click_rules(spark, d):
+    """The six rules of clicks over all events, in which some ids carry a fault."""
+    return _coded(spark.sql(f"select * from {CLICK_ROWS}", events=table(spark, d, "events")), "id", quality.click_rules(300))
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,6 @@
-from brookmill.operators.sla import Policy
+from datetime import datetime, timedelta
+
+from brookmill.operators.sla import Policy, replayed
 
 T0 = 1_700_000_000_000
 P = Policy(240_000, 900_000)
@@ -58,3 +60,21 @@ def test_place_is_of_the_first_event_and_unknown_statuses_rank_lowest():
     step = P.events(None, [ev("ODD", 5, "Z2"), ev("PLACED", 0, "Z1")], 0)
     assert step.state.zone == "Z1" and step.state.status == "PLACED"
     assert P.events(None, [], 0).state is None
+
+
+def test_replay_gives_the_alerts_of_each_history(spark):
+    at = lambda s: datetime(2026, 1, 15, 10) + timedelta(seconds=s)
+    histories = {
+        "in time": [("PLACED", 0), ("DELIVERED", 100)],
+        "late": [("PLACED", 0), ("PICKED_UP", 50), ("DELIVERED", 300)],
+        "on the second": [("PLACED", 0), ("DELIVERED", 240)],
+        "open": [("PLACED", 0), ("ACCEPTED", 30)],
+        "cancelled late": [("PLACED", 0), ("CANCELLED", 500)],
+        "forgotten": [("PLACED", 0), ("DELIVERED", 901)],
+    }
+    rows = [(k, status, at(s), "Z", "R") for k, h in histories.items() for status, s in h] + [(None, "PLACED", at(0), "Z", "R"), ("no time", "PLACED", None, "Z", "R")]
+    df = spark.createDataFrame(rows, "order_id string, status string, event_ts timestamp, zone string, restaurant_id string").repartition(5)
+    got = sorted((r["order_id"], r["alert_type"], r["last_status"], r["detected_at"], r["open_seconds"]) for r in replayed(df, 240, 900).collect())
+    breach = lambda k, status: (k, "SLA_BREACH", status, at(240), 240.0)
+    assert got == sorted([breach("late", "PICKED_UP"), ("late", "DELIVERED_AFTER_BREACH", "DELIVERED", at(300), 300.0), breach("open", "ACCEPTED"), breach("cancelled late", "PLACED"), breach("forgotten", "PLACED")])
+    assert replayed(df.where("false"), 240, 900).count() == 0
