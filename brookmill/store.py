@@ -277,18 +277,31 @@ class TableStore:
 
     # -- maintenance -------------------------------------------------------
 
-    def compact(self, target_files: int = 1, sort_by: list[str] | None = None) -> tuple[int, int]:
-        """Rewrites the table into fewer files, clustered by one column or along a Z-order curve of several, so that Parquet's statistics skip files. Streams over changes don't see it. Returns files before and after."""
+    def compact(self, target_files: int | None = None, sort_by: list[str] | None = None, target_bytes: int = 128 << 20) -> tuple[int, int]:
+        """Rewrites the table into fewer files, clustered by one column or along a Z-order curve of several, so that Parquet's statistics skip files.
+
+        As many tasks as target_files, or as files of target_bytes hold the table. Rows are ranged by partition first, so a
+        task writes few partitions and a large one is split among tasks. Streams over changes don't see it. Returns files
+        before and after.
+        """
 
         def change(now: Snapshot) -> tuple[int, int]:
             if now.buckets:
                 raise ValueError("bucketed tables are rewritten by upsert")
-            df = self._load(now, now.files)
+            tasks = target_files
+            if tasks is None:
+                size, live = 0, set(now.files)
+                for name, bytes_, _ in self.folder.files("data"):
+                    size += bytes_ if name in live else 0
+                tasks = max(1, -(-size // target_bytes))
+            df, by = self._load(now, now.files), list(now.partition_by)
             if sort_by:
                 curve = sort_by if len(sort_by) == 1 else [z_order(df, sort_by)]
-                df = df.repartitionByRange(target_files, *curve).sortWithinPartitions(*curve)
+                df = df.repartitionByRange(tasks, *by, *curve).sortWithinPartitions(*by, *curve)
+            elif by and tasks > 1:
+                df = df.repartitionByRange(tasks, *by, F.xxhash64(*df.columns))
             else:
-                df = df.coalesce(target_files)
+                df = df.coalesce(tasks)
             adds = self._write(df, now)
             self._commit(now, "compact", adds, list(now.files), data_change=False)
             return len(now.files), len(adds)

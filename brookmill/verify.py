@@ -64,7 +64,7 @@ def q(spark: SparkSession, sql: str, n: int = 20) -> None:
     spark.sql(sql).show(n, truncate=False)
 
 
-def maintain(spark: SparkSession, s: Settings, vacuum: bool = True, target_files: int = 1) -> DataFrame:
+def maintain(spark: SparkSession, s: Settings, vacuum: bool = True, target_files: int | None = None) -> DataFrame:
     """Compacts and clusters the append-only silver tables and deletes what no version of the last week needs: table, before, after, deleted."""
     rows = []
     for name in LAYERS["silver"]:

@@ -99,3 +99,16 @@ def test_z_order_clusters_by_both_columns(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == sorted(rows)
     spans = t.read().groupBy(F.input_file_name()).agg(F.countDistinct("zone"), F.count("*")).collect()
     assert len(spans) > 4 and max(r[1] for r in spans) < 16
+
+
+def test_compaction_by_size_splits_a_large_partition(spark, tmp_path):
+    schema = _table("day int, k string")
+    rows = [(0 if i % 3 else i % 5, f"k{i * 7919}") for i in range(6000)]
+    t = TableStore(spark, str(tmp_path / "t")).ensure(schema, ["day"])
+    for part in range(3):
+        t.append(spark.createDataFrame(rows[part::3], schema).repartition(4))
+    before, after = t.compact(target_bytes=16 << 10)
+    assert 5 < after < before and sorted(map(tuple, t.read().collect())) == sorted(rows)
+    largest = t.read().where("day = 0").groupBy(F.input_file_name()).count().collect()
+    assert len(largest) > 1
+    assert t.compact() == (after, 5)
