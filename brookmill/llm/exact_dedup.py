@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_ROWS = 10_000
+#: Ids of one text in a batch from which they are dealt to SALTS tasks; only texts with as many copies have a row for each.
+MANY, SALTS = 256, 64
 
 
 def normalise(text: str | None) -> bytes:
@@ -80,13 +81,14 @@ def _neighbours(largest: bool):
 
 
 def _members(batches):
-    """Ids by text, one row for each text of a batch."""
-    schema = pa.schema([("sha", pa.string()), ("ids", pa.list_(pa.int64()))])
-    for batch in batches:
+    """Ids by text, one row for each text of a batch; where there are many, salted by batch and their first id."""
+    schema = pa.schema([("sha", pa.string()), ("ids", pa.list_(pa.int64())), ("salt", pa.int32())])
+    for k, batch in enumerate(batches):
         ids: dict[str, list] = {}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids.setdefault(hashlib.sha256(normalise(text)).hexdigest(), []).append(doc_id)
-        yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(list(ids.values()), pa.list_(pa.int64()))], schema=schema)
+        salts = [(k + hash(v[0])) % SALTS if len(v) >= MANY else 0 for v in ids.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(list(ids.values()), pa.list_(pa.int64())), pa.array(salts, pa.int32())], schema=schema)
 
 
 def _partitions(df: DataFrame) -> int:
@@ -112,12 +114,17 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Verdicts reach the ids by digest and salt, so that the ids of a text with very many copies go to many tasks.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = rows.mapInArrow(_members, "sha string, ids array<long>")
+    members = rows.mapInArrow(_members, "sha string, ids array<long>, salt int")
     found = groups(docs, id_col=id_col, text_col=text_col, keep=keep)
+    salts = F.when(F.col("group_size") >= MANY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.withColumn("salt", F.explode(salts))
     return (
-        members.join(found, "sha")
+        members.join(found, ["sha", "salt"])
         .select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )

@@ -142,3 +142,14 @@ def test_near_survivors(odd, none):
     kept = {i for i, c in want if i == c or i is None}
     assert {r["doc_id"] for r in got.collect()} == kept
     assert simhash.survivors(none).count() == 0
+
+
+def test_ids_of_a_text_with_many_copies_go_to_many_tasks(spark):
+    rows = [(k, "Copied" if k % 3 == 0 else f"own {k}") for k in range(6000)] + [(None, "copied")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    found = exact_dedup.decide(docs, keep="largest").collect()
+    copies = [r for r in found if r["group_size"] > 1]
+    assert len(found) == 6300 and len(copies) == 2300 and {(r["keep_id"], r["group_size"]) for r in copies} == {(5997, 2300)}
+    assert sum(r["kept"] for r in found) == 4001
+    members = docs.select("doc_id", "text").mapInArrow(exact_dedup._members, "sha string, ids array<long>, salt int").collect()
+    assert len({r["salt"] for r in members if len(r["ids"]) >= exact_dedup.MANY}) > 1
