@@ -50,6 +50,21 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows to a table of one row a key, whose column n (dropped) counts the rows of that key; total: at least the sum of n.
+
+    Keys of more than a quarter of an even partition's rows, of which there are at most four for each shuffle partition,
+    are broadcast; the rows of all others are shuffled. So no task gets much more than its share, whatever a key holds.
+    """
+    most = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = [c for c in table.columns if c not in (key, "n")]
+    hot = table.where(F.col("n") > most).select(key, F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    at_once = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in values])
+    shuffled = marked.where("_hot is null").drop("_hot").join(table.where(F.col("n") <= most).drop("n"), key)
+    return at_once.unionByName(shuffled.select(*rows.columns, *values))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -12,7 +12,8 @@ sorted fingerprints, so a whole front of node pairs moves one level with a few a
 spanning set of the links it found (a node and the smallest it reaches), from which components are joined together.
 
 A block that very many distinct fingerprints share is dealt out again by the bits that remain, in four parts of which
-one must again agree, until no group is large; so a hot group is split without losing a pair.
+one must again agree, until no group is large; so a hot group is split without losing a pair. Verdicts reach the documents
+by fingerprint, those of hot fingerprints by a broadcast of bounded size, so their documents aren't shuffled.
 
 Defined cases: null or empty texts and texts without words have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; rows that repeat an id each give a row; a null id counts as larger than any
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.common import components, durable
+from brookmill.llm.common import components, durable, spread_join
 from brookmill.llm.graph import connected
 
 BITS = 64
@@ -188,12 +189,12 @@ def links(nodes: DataFrame, *, budget: int = 3, hot: int = 2_000_000) -> DataFra
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
     """One row for each document: doc_id, fp, component_id (smallest id reachable over links, its own included)."""
     marked = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected(links(nodes, budget=budget).select("u", "v")).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least, "root").select("fp", "n", "component_id")
+    return spread_join(marked, by_fp, "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -4,8 +4,10 @@ import random
 import numpy as np
 import xxhash
 from conftest import odd_rows
+from pyspark.sql import functions as F
 
 from brookmill.llm import exact_dedup, graph, simhash
+from brookmill.llm.common import durable, spread_join
 
 
 def test_exact_groups_of_odd_rows(odd):
@@ -135,6 +137,19 @@ def test_components_of_chains_and_hubs(spark):
     assert graph.connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_documents_of_a_hot_fingerprint_and_links_of_a_hub_are_not_shuffled(spark):
+    rows = [(k, "" if k % 3 == 0 else f"a{k} b{k} c{k} d{k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs).collect()}
+    assert len(got) == 3000 and all(got[k] == 0 for k in range(0, 3000, 3))
+    pairs = spark.createDataFrame([(k, 0 if k % 2 else k) for k in range(4000)], "key long, hub long").repartition(8).select(F.col("hub").alias("key"), F.col("key").alias("value"))
+    table = durable(pairs.groupBy("key").agg(F.min("value").alias("m"), F.count("*").alias("n")))
+    out = spread_join(durable(pairs), table, "key", 4000)
+    assert {(r["key"], r["value"], r["m"]) for r in out.collect()} == {(0 if k % 2 else k, k, 0 if k % 2 else k) for k in range(4000)}
+    per_task = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 1000 and "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
 def test_near_survivors(odd, none):
     got = simhash.survivors(odd, width=5)
     assert got.columns == odd.columns
