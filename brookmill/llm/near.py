@@ -8,7 +8,8 @@ similarity of 0.8 means some 10 differing bits of 64, where a trie no longer pru
 minima: a signature of BANDS times ROWS minima is cut into bands, and at 0.8 all bands differ with a probability of 7e-6.
 Components over these candidates hold every candidate pair, so each is verified on its own, where its sets go: pairs
 that share a band are compared by their minima (those that agree in fewer than NEAR of them are
-dropped: at 0.8, more than five standard deviations), then by their whole sets. A pair that is joined already isn't
+dropped: at 0.8, more than five standard deviations), then by their whole sets. Pairs within 3 bits, found again by tries
+over the component, are compared by their whole sets at once, whatever their minima. A pair that is joined already isn't
 compared, so a group of near copies costs about one comparison for each member.
 
 A component beyond PART_BYTES of sets (8 bytes a distinct shingle and NODE_BYTES a node) is dealt by a hash of its nodes
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from brookmill.llm.common import durable, new_folder, spread_join
 from brookmill.llm.graph import connected
-from brookmill.llm.simhash import BITS, _shingles, links
+from brookmill.llm.simhash import BITS, _shingles, links, near_pairs
 
 BANDS, ROWS = 30, 5
 #: Minima of which two candidates must agree in this many, at a similarity of 0.8.
@@ -102,7 +103,7 @@ class _Classes:
         self.size = np.array([len(s) for s in sets])
         self.minima = [minima(s) for s in sets]
         self.short = np.array([m.astype(np.uint16) for m in self.minima]).reshape(-1, BANDS * ROWS)
-        self.near = NEAR - round((0.8 - least) * BANDS * ROWS)
+        self.agree = NEAR - round((0.8 - least) * BANDS * ROWS)
         self.label = np.arange(len(sets))
         self.members = {k: [k] for k in range(len(sets))}
 
@@ -120,25 +121,30 @@ class _Classes:
         both = len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True))
         return both >= self.limit * (self.size[a] + self.size[b] - both)
 
-    def meet(self, k: int, others: list[int]) -> None:
-        """Joins node k with those of the others that are like it."""
+    def meet(self, k: int, others: list[int], agree: int) -> None:
+        """Joins node k with those of the others that are like it, if so many minima agree."""
         at = np.array(others)
         at = at[self.label[at] != self.label[k]]
         n = self.size[k]
         at = at[(np.minimum(self.size[at], n) >= self.limit * np.maximum(self.size[at], n) - 1e-9)]
-        for j in at[(self.short[at] == self.short[k]).sum(axis=1) >= self.near]:
+        if agree:
+            at = at[(self.short[at] == self.short[k]).sum(axis=1) >= agree]
+        for j in at:
             if self.label[j] != self.label[k] and self.alike(k, j):
                 self.join(k, j)
 
-    def bucket(self, nodes: list[int]) -> None:
-        """Compares nodes that share a band. Those of the largest class are looked at in growing parts until one is like the node."""
+    def apart(self, nodes: list[int]) -> bool:
+        return len(nodes) > 1 and len(set(self.label[nodes].tolist())) > 1
+
+    def bucket(self, nodes: list[int], agree: int) -> None:
+        """Compares all these nodes. Those of the largest class are looked at in growing parts until one is like the node."""
         large, rest, sort_at = [], [], 64
         for k in nodes:
             if rest:
-                self.meet(k, rest)
+                self.meet(k, rest, agree)
             start, size = 0, 16
             while start < len(large) and self.label[large[0]] != self.label[k]:
-                self.meet(k, large[start : start + size])
+                self.meet(k, large[start : start + size], agree)
                 start, size = start + size, size * 8
             (large if large and self.label[large[0]] == self.label[k] else rest).append(k)
             if len(rest) >= sort_at or not large:
@@ -149,17 +155,40 @@ class _Classes:
                 rest = [j for j in seen if self.label[j] != most]
                 sort_at = max(64, 2 * len(rest))
 
+    def bands(self) -> None:
+        """Compares nodes that share a band."""
+        buckets: dict[int, list[int]] = {}
+        for k, m in enumerate(self.minima):
+            for key in band_keys(m):
+                buckets.setdefault(key, []).append(k)
+        for nodes in buckets.values():
+            if self.apart(nodes):
+                self.bucket(nodes, self.agree)
+
+    def tries(self) -> None:
+        """Compares nodes whose fingerprints differ in at most 3 bits; nothing is left to do where all are one class."""
+        if not self.apart(list(self.members)):
+            return
+        fps, at = np.unique(np.array([majority(s) for s in self.sets], np.int64).view(np.uint64), return_inverse=True)
+        held = [[] for _ in fps]
+        for k, g in enumerate(at):
+            held[g].append(k)
+        for nodes in held:
+            if self.apart(nodes):
+                self.bucket(nodes, 0)
+        whole, lead = np.array([not self.apart(nodes) for nodes in held]), np.array([nodes[0] for nodes in held])
+        for i, j in near_pairs(fps):
+            left = ~(whole[i] & whole[j] & (self.label[lead[i]] == self.label[lead[j]]))
+            for a, b in zip(i[left], j[left]):
+                if self.apart(nodes := held[a] + held[b]):
+                    self.bucket(nodes, 0)
+
 
 def classes_of(sets: list[np.ndarray], least: float) -> np.ndarray:
     """A label for each of the sets of one component."""
     found = _Classes(sets, least)
-    buckets: dict[int, list[int]] = {}
-    for k, m in enumerate(found.minima):
-        for key in band_keys(m):
-            buckets.setdefault(key, []).append(k)
-    for nodes in buckets.values():
-        if len(nodes) > 1 and len(set(found.label[nodes].tolist())) > 1:
-            found.bucket(nodes)
+    found.bands()
+    found.tries()
     return found.label
 
 

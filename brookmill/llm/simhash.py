@@ -135,6 +135,19 @@ def trie_pairs(values: np.ndarray, depth: int, budget: int, front: int = 1 << 18
         stack.append((d + 1, *(np.concatenate(x) for x in zip(*nodes))))
 
 
+def near_pairs(values: np.ndarray, few: int = 256):
+    """Index arrays of the pairs (i, j), i < j, of sorted distinct values within 3 bits: from four tries, so some pairs are repeated, or by comparing a few values one with another."""
+    if len(values) <= few:
+        yield np.nonzero(np.triu(_ones(values[:, None] ^ values) <= 3, 1))
+        return
+    step = BITS // 4
+    for turn in range(0, BITS, step):
+        turned = values << np.uint64(turn) | values >> np.uint64(BITS - turn) if turn else values
+        order = np.argsort(turned)
+        for i, j in trie_pairs(turned[order], step, 3):
+            yield np.minimum(order[i], order[j]), np.maximum(order[i], order[j])
+
+
 def _rotations(fp, depth: int, step: int):
     """The value with each of the four blocks of `step` bits after its first `depth` brought forward to that place."""
     rest, out = BITS - depth, []

@@ -75,6 +75,48 @@ def test_classes_of_one_component(seed):
     assert len(set(zip(got.tolist(), want))) == len(set(got.tolist())) == len(set(want))
 
 
+#: Two sets, found by a search, whose similarity to themselves without the last hash is 0.8, whose fingerprints then differ in 0 and 2 bits, and that then share no band.
+BANDLESS = [
+    [0xFFFFFFEFFF7FFFFF, 0xFFFFFBFFDDFBFFFD, 0xFFBFFFFFFFFFFFFF, 0xFFFFFDFFFFFFFFB7, 0x7FEFFFFFFFFFFFFF],
+    [0xFDFFFFFFFFFBFFBF, 0xBF3FFF7FFFFFFEFF, 0xBFFDFFBFF9FFFFDF, 0xFFDFF7BFFFFFFFFE, 0xFFBF7FFDFFDFFFFF],
+]
+
+
+def bandless_sets():
+    return [np.sort(np.array(h, np.uint64)) for whole in BANDLESS for h in (whole, whole[:4])]
+
+
+def test_links_of_the_tries_decide_where_no_band_is_shared(spark):
+    sets = bandless_sets()
+    for a, b in (sets[:2], sets[2:]):
+        assert not set(near.band_keys(near.minima(a))) & set(near.band_keys(near.minima(b)))
+        assert (near.majority(a) ^ near.majority(b)).bit_count() <= 3
+    label = near.classes_of(sets, 0.8)
+    assert label[0] == label[1] != label[2] == label[3]
+    nodes = spark.createDataFrame([(k, near.majority(s)) for k, s in enumerate(sets)], "node long, fp long")
+    roots = {r["node"]: r["root"] for r in near.connected(near._by_trie(nodes)).collect()}
+    rows = [(roots.get(k, k), k, s.tobytes()) for k, s in enumerate(sets)]
+    for part_bytes in (near.PART_BYTES, 2000):
+        moved = near._moved(spark.createDataFrame(rows, "root long, node long, found binary"), 0.8, part_bytes).collect()
+        assert {frozenset(r) for r in moved} == {frozenset((0, 1)), frozenset((2, 3))}
+
+
+def test_tries_over_many_nodes(monkeypatch):
+    monkeypatch.setattr(near, "band_keys", lambda least: [int.from_bytes(least.tobytes()[:8], "big")])  # so that bands find next to nothing
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 64, 200, np.uint64)) for _ in range(300)]
+    sets += [s[:-2] for s in sets[::2]] + [s[1:] for s in sets[::3]]
+    values = np.unique(np.array([near.majority(s) for s in sets], np.int64).view(np.uint64))
+    i, j = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values) <= 3, 1))
+    got = {p for x, y in near.near_pairs(values, 10) for p in zip(x.tolist(), y.tolist())}
+    assert len(values) > 300 and got == set(zip(i.tolist(), j.tolist())) and got
+    label, near_to = near.classes_of(sets, 0.8), lambda a, b: (near.majority(a) ^ near.majority(b)).bit_count() <= 3
+    copies = [(k, 300 + k // 2) for k in range(0, 300, 2)] + [(k, 450 + k // 3) for k in range(0, 300, 3)]
+    close = [(a, b) for a, b in copies if near_to(sets[a], sets[b])]
+    assert len(close) > 50 and all(label[a] == label[b] for a, b in close)
+    assert len(set(label[:300].tolist())) == 300
+
+
 def test_odd_rows_and_repeated_ids(spark, odd, none):
     got = near.survivors(odd).collect()
     want, _ = plain_classes([r[1] for r in odd_rows()])
