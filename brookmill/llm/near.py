@@ -16,6 +16,7 @@ A component beyond PART_BYTES of sets (8 bytes a distinct shingle and NODE_BYTES
 into parts of about that size, and every two parts meet in a task of their own; the classes found there are links, whose
 components are the classes. So a task holds two parts at most, and no pair is lost; the work on such a component grows
 with the square of its number of parts. Rows of a crowded band or hub are joined by `spread_join`, without a shuffle.
+Rows are picked by number where they lie: only the texts of candidates are shuffled, and the rows that stay aren't.
 
 Defined cases: texts without words, null ones included, are one class; texts of fewer words than a shingle are one
 shingle; of a class the row with the smallest id stays, a null id counts as larger than any other, and of rows that
@@ -39,6 +40,8 @@ BANDS, ROWS = 30, 5
 NEAR = 95
 #: Bytes of sets that a part of a large component holds, and what a node counts besides its set.
 PART_BYTES, NODE_BYTES = 48 << 20, 1700
+#: Blocks of 64 row numbers that are broadcast, of 24 bytes each.
+MOST_BLOCKS = 1 << 20
 #: Shingles whose minima are taken at a time.
 PART = 1 << 11
 _random = np.random.default_rng(42)
@@ -248,6 +251,18 @@ def _moved(sets: DataFrame, least: float, part_bytes: int) -> DataFrame:
     return connected(found.select(F.col("node").alias("u"), F.col("class").alias("v"))).withColumnRenamed("root", "class")
 
 
+def _among(rows: DataFrame, wanted: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
+    """The rows whose number (column row) is in wanted (column row), which has no nulls.
+
+    Numbers are looked up in blocks of 64 bits, which are broadcast, so rows stay where they are; beyond `most` blocks the
+    rows are shuffled to their blocks instead.
+    """
+    block, at = F.shiftright("row", 6).alias("block"), "cast(row & 63 as int)"
+    blocks = durable(wanted.groupBy(block).agg(F.bit_or(F.expr(f"shiftleft(1L, {at})")).alias("bits")))
+    found = rows.select(block, *rows.columns).join(F.broadcast(blocks) if blocks.count() <= most else blocks, "block")
+    return found.where(f"getbit(bits, {at}) = 1").select(*rows.columns)
+
+
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of docs that stay, one of each class, with their columns."""
     if not 0.8 <= least <= 1:
@@ -268,9 +283,10 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     banded = spread_join(keyed, hubs, "key", BANDS * nodes.count()).where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     candidates = connected(banded.unionByName(_by_trie(nodes)).distinct())
     candidates = durable(candidates.unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct())
-    texts = rows.select(F.col("row").alias("node"), text.alias("text")).join(candidates, "node").select("root", "node", "text")
+    texts = _among(rows.select("row", text.alias("text")), candidates.select(F.col("node").alias("row"))).withColumnRenamed("row", "node")
+    texts = texts.join(candidates, "node").select("root", "node", "text")
     sets = durable(texts.mapInArrow(_with_sets(width), "root long, node long, found binary"))
     moved = _moved(sets, least, part_bytes)
     named = nodes.select("node", "first").join(moved, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("first").alias("first"))
     kept = named.select(F.col("first.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*plain).toDF(*names)
+    return _among(rows, kept).select(*plain).toDF(*names)

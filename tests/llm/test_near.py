@@ -117,6 +117,18 @@ def test_tries_over_many_nodes(monkeypatch):
     assert len(set(label[:300].tolist())) == 300
 
 
+def test_rows_are_picked_where_they_lie(spark):
+    numbers = [0, 1, 62, 63, 64, 127, 128, 700, (5 << 33) + 63, (5 << 33) + 64, (1 << 62) + 63]
+    rows = spark.createDataFrame([(k, f"t{k}") for k in numbers], "row long, text string").repartition(3)
+    for wanted in ([], numbers, [0, 63, 700, (5 << 33) + 63], [1, 2, 65, (1 << 62) + 63, (1 << 62) + 63]):
+        table = spark.createDataFrame([(k,) for k in wanted], "row long")
+        for most in (0, 100):
+            got = near._among(rows, table, most)
+            assert got.columns == ["row", "text"] and sorted(tuple(r) for r in got.collect()) == [(k, f"t{k}") for k in numbers if k in wanted]
+    docs = spark.createDataFrame(list(enumerate(edited_corpus(2, 5))), "doc_id long, text string")
+    assert "hashpartitioning" not in near.survivors(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_odd_rows_and_repeated_ids(spark, odd, none):
     got = near.survivors(odd).collect()
     want, _ = plain_classes([r[1] for r in odd_rows()])
