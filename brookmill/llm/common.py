@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,25 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> Data
     return at_once.unionByName(shuffled.select(*rows.columns, *values))
 
 
+def in_slices(batches, rows: int = 512):
+    """Arrow batches in parts of so many rows, so that what a function makes of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def lean(run):
+    """A function on batches that, when done, returns free memory to the system: its worker stays, idle, beside later stages."""
+
+    def done(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return done
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.common import durable, new_folder, spread_join
+from brookmill.llm.common import durable, in_slices, lean, new_folder, spread_join
 from brookmill.llm.graph import connected
 from brookmill.llm.simhash import BITS, _shingles, links, near_pairs
 
@@ -79,23 +79,23 @@ def majority(found: np.ndarray) -> int:
 
 def _signed(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             keys = [band_keys(minima(s)) for s in sets]
             fps = pa.array([majority(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), fps], names=["row", "id", "digest", "keys", "fp"])
 
-    return run
+    return lean(run)
 
 
 def _with_sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "found"])
 
-    return run
+    return lean(run)
 
 
 class _Classes:
@@ -206,7 +206,7 @@ def _verified(least: float):
 
     def run(batches):
         now, nodes, sets = None, [], []
-        for batch in batches:
+        for batch in in_slices(batches):
             for cell, node, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if cell != now and nodes:
                     yield settle(nodes, sets)
@@ -217,7 +217,7 @@ def _verified(least: float):
         if nodes:
             yield settle(nodes, sets)
 
-    return run
+    return lean(run)
 
 
 def _by_trie(nodes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import odd_rows
 
@@ -142,6 +143,12 @@ def test_odd_rows_and_repeated_ids(spark, odd, none):
     assert sorted(r["text"][0] for r in near.survivors(docs).collect()) == ["a", "k", "p"]
 
 
+def test_sets_are_made_in_slices():
+    batch = pa.RecordBatch.from_pydict({"root": list(range(1200)), "node": list(range(1200)), "text": [f"a b c d e {k}" for k in range(1200)]})
+    out = list(near._with_sets(5)(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= 512 and [k for b in out for k in b.column(1).to_pylist()] == list(range(1200))
+
+
 def test_minima_estimate_similarity():
     a, b = np.arange(900, dtype=np.uint64), np.arange(100, 1000, dtype=np.uint64)
     spread = np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64)
